@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import secrets, tokens
+from kinfold.llm import secrets, simhash, tokens
 from kinfold.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,9 +19,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_secret_scan": op3_secret_scan,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
