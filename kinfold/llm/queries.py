@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import lines, mixing, packing, secrets, simhash, tokens
+from kinfold.llm import lines, mixing, packing, quality, secrets, simhash, tokens
 from kinfold.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3))
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op7_line_dedup": op7_line_dedup,
     "op10_simhash": op10_simhash,
 }
