@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import lines, mixing, packing, quality, secrets, simhash, tokens
+from kinfold.llm import lines, mixing, packing, quality, quantise, secrets, simhash, tokens
 from kinfold.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_near_vectors": op6_near_vectors,
     "op7_line_dedup": op7_line_dedup,
     "op10_simhash": op10_simhash,
 }
