@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm import lines, mixing, packing, quality, quantise, secrets, simhash, tokens
+from kinfold.llm import graph, lines, mixing, packing, quality, quantise, secrets, simhash, tokens
 from kinfold.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,6 +41,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_near_vectors": op6_near_vectors,
     "op7_line_dedup": op7_line_dedup,
+    "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
 }
 
