@@ -18,16 +18,15 @@ usable labels every score is 0.5 (predicted 1); repeated rows repeat their
 result; an empty table gives an empty result; other columns are never read.
 """
 
-from __future__ import annotations
-
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.arrow import map_batches, texts
+from kinfold.llm.arrow import bounded_batches, map_batches, texts
 
 #: Documented bound of the training sample, in documents.
 SAMPLE = 4000
@@ -156,6 +155,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
     return train([(np.frombuffer(r.buckets, "<u4"), np.frombuffer(r.counts, "<u4"), r.y) for r in rows])
 
 
+def score_column(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> F.Column:
+    """The score of each row as a column, to filter whole rows by."""
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    made: dict[int, Scorer] = {}
+
+    @F.pandas_udf("double")
+    def score(found: pd.Series) -> pd.Series:
+        if 0 not in made:
+            made[0] = Scorer(*shared.value)
+        return found.map(made[0].score).astype("float64")
+
+    return score(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted (1 if score >= 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.arrow import bounded_batches, map_batches, texts
+from kinfold.llm.pairs import paired_texts
 from kinfold.operators.components import connected_components
 from kinfold.operators.storage import written
 
@@ -232,3 +233,55 @@ def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4, blocks: int
     parts = connected_components(links(classes, radius, blocks))
     root = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(root, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def mixed_hashes(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The hashes under another, independent hash function (0: as they are)."""
+    if not number:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
+
+
+def jaccard(a: str, b: str, words: int) -> float:
+    """Similarity of two texts' sets of shingles; 1 if both have none."""
+    x, y = (np.unique(shingle_hashes(t, words)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, blocks: int = 9, prints: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents whose shingle sets are alike.
+
+    Several independent fingerprints propose links, each within the radius; a
+    link counts if the exact Jaccard similarity of the two whole texts reaches
+    ``similarity``. Rows without a doc_id are left out.
+    """
+    names = [f"fp{k}" for k in range(prints)]
+
+    def make(batch):
+        hashes = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id")} | {n: pa.array(np.array([fingerprint(mixed_hashes(h, k)) for h in hashes], dtype=np.uint64).view(np.int64)) for k, n in enumerate(names)}
+
+    docs = texts(df, id_col, text_col).where("doc_id is not null")
+    fps = written(map_batches(docs, make, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    classes = written(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")), "classes")
+    edges = None
+    for n in names:
+        own = written(classes.groupBy(F.col(n).alias("fp")).agg(F.min("rep").alias("head")), "heads")
+        found = links(own.select("fp", F.col("head").alias("rep")), radius, blocks)
+        same = classes.select(F.col(n).alias("fp"), "rep").join(own, "fp").where("rep <> head").select(F.col("head").alias("src"), F.col("rep").alias("dst"))
+        edges = found.unionByName(same) if edges is None else edges.unionByName(found).unionByName(same)
+    edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+    def verify(batch):
+        alike = [jaccard(a, b, words) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        kept = batch.filter(pa.array(alike))
+        return {"src": kept.column("src"), "dst": kept.column("dst")}
+
+    parts = connected_components(map_batches(bounded_batches(paired_texts(docs, edges)), verify, "src long, dst long"))
+    root = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(root, names).select("doc_id", "component_id")

@@ -77,3 +77,24 @@ def test_small_table_equals_brute_force(spark):
     want = {r.doc_id: brute_fingerprint(r.text) for r in docs.collect()}
     parts = brute_components(want)
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {i: (f"{f:016x}", parts[i]) for i, f in want.items()}
+
+
+def test_similar_groups(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows, want = [], {}
+    for family in range(12):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([60, 200, 500]))]
+        for k in range(4):
+            text = list(base)
+            for at in rnd.sample(range(len(base)), int(len(base) * [0, 0, 0.004, 0.5][k])):
+                text[at] = f"x{rnd.randrange(10**6)}"
+            rows.append((family * 10 + k, " ".join(text), 0))
+            want[family * 10 + k] = family * 10 + (3 if k == 3 else 0)
+    rows += [(500, None, 1), (501, "", 1), (502, "two words", 1), (502, "two words", 1), (None, "x", 1)]
+    want |= {500: 500, 501: 500, 502: 502}
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string, fp0 long")).collect()
+    assert len(found) == len(rows) - 1
+    assert {r.doc_id: r.component_id for r in found} == want
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
