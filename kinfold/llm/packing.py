@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.arrow import map_batches, texts
-from kinfold.llm.tokens import CACHE, CACHE_CHARS, Splitter
+from kinfold.llm.tokens import CACHE_CHARS, Splitter
 
 #: Documents of a group on average.
 GROUP = 512
+#: Pretokens whose identifiers a worker remembers.
+CACHE = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,10 +45,10 @@ class Encoder(dict):
         self.tool.no_truncation()
         added = self.tool.get_added_tokens_decoder().values()
         self.split = Splitter([t.content for t in added], path)
-        self.kind = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")  # also the array type of that size
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tool.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        ids = array(self.kind.char, self.tool.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE:
                 self.clear()
