@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import graph, lines, mixing, packing, quality, quantise, secrets, simhash, tokens
+from kinfold.llm import graph, lines, mixing, packing, passages, quality, quantise, secrets, simhash, tokens
 from kinfold.sources.tables import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_near_vectors": op6_near_vectors,
     "op7_line_dedup": op7_line_dedup,
+    "op8_passages": op8_passages,
     "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
 }
