@@ -65,10 +65,11 @@ def hsv(image: np.ndarray) -> np.ndarray:
     top, low = rgb.max(-1), rgb.min(-1)
     span = top - low
     safe = np.where(span > 0, span, 1)
-    r, g, b = ((top - rgb[..., c]) / safe for c in range(3))
+    single = lambda x: x.astype(np.float32).astype(np.float64)  # noqa: E731  steps are stored in single precision
+    r, g, b = (single((top - rgb[..., c]) / safe) for c in range(3))
     hue = np.where(rgb[..., 0] == top, b - g, np.where(rgb[..., 1] == top, 2 + r - b, 4 + g - r))
-    hue = np.where(span > 0, np.mod(hue / 6 + 1, 1), 0)
-    saturation = np.where(span > 0, span / np.where(top > 0, top, 1), 0)
+    hue = np.where(span > 0, single(np.mod(single(hue) / 6 + 1, 1)), 0)
+    saturation = np.where(span > 0, single(span / np.where(top > 0, top, 1)), 0)
     return np.stack([(hue * 255).astype(np.uint8), (saturation * 255).astype(np.uint8), top.astype(np.uint8)], -1)
 
 

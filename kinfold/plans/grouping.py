@@ -19,7 +19,7 @@ from kinfold.operators.storage import written
 from kinfold.options import GroupingOptions, UsageError
 from kinfold.sources import decode as decoding
 from kinfold.sources.discover import discover
-from kinfold.sources.sink import check_paths, preflight, write_outputs
+from kinfold.sources.sink import PlanRow, check_paths, preflight, write_outputs
 
 PREPARED = "rel_path string, ok boolean, reason string, crop binary, histogram array<float>, dhash long, aspect_ratio double, thumb binary"
 
@@ -120,7 +120,8 @@ def run(spark: SparkSession, source: Path, destination: Path, options: GroupingO
     features = embedder.embed(good).withColumn("v", fused(F.col("embedding"), F.col("histogram"), options.alpha))
     features = written(features.drop("crop", "ok", "reason"), "features")
     stage("Classifying Images:")
-    plan = group_features(features, options).orderBy("cluster", "index").collect()  # a plan is written row by row
+    rows = group_features(features, options).orderBy("cluster", "index").collect()  # a plan is written row by row
+    plan = [PlanRow(**r.asDict()) for r in rows]
     skips = skipped.orderBy("rel_path").collect()
     preflight(paths, plan)
     write_outputs(paths, plan, skips)
