@@ -66,4 +66,21 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Operators whose results SQL can state; the others are tested by brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_near_vectors": """
+WITH RECURSIVE u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+  p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.98 * a.n * b.n),
+  reach(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+  c AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+  k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM u LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op7_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  l AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d, unnest(range(1, len(lines) + 1)) AS t(i)),
+  h AS (SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS top FROM l WHERE length(key) >= 20 GROUP BY key),
+  x AS (SELECT l.doc_id, i, line, coalesce(n >= 3 AND l.doc_id <> top, false) AS gone FROM l LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM x GROUP BY doc_id""",
+}
