@@ -52,10 +52,13 @@ def thumb_error(a: str, b: str) -> F.Column:
 def duplicate_edges(features: DataFrame) -> DataFrame:
     """(src, dst): pairs alike in hash, aspect ratio and thumbnail, src < dst.
 
-    The cheap predicates run inside the join; only their survivors meet Python.
+    The cheap predicates run inside the banded join, which carries no pixels; the
+    thumbnails of its survivors are looked up by key.
     """
-    pairs = hamming_pairs(features, "rel_path", "dhash", ("aspect_ratio", "thumb"))
-    pairs = pairs.where(alike_aspect(F.col("src_aspect_ratio"), F.col("dst_aspect_ratio")))
+    pairs = hamming_pairs(features, "rel_path", "dhash", ("aspect_ratio",))
+    pairs = pairs.where(alike_aspect(F.col("src_aspect_ratio"), F.col("dst_aspect_ratio"))).select("src", "dst")
+    thumb = lambda name: features.select(F.col("rel_path").alias(name), F.col("thumb").alias(f"{name}_thumb"))
+    pairs = pairs.join(thumb("src"), "src").join(thumb("dst"), "dst")
     return pairs.where(thumb_error("src_thumb", "dst_thumb") <= MAX_THUMB_ERROR).select("src", "dst")
 
 
