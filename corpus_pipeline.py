@@ -24,10 +24,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 or more characters in 3 or more documents stay in one; a
-    document that loses all its lines goes."""
+    """Lines of 20 or more characters in 3 or more documents stay in one of them; a
+    document that loses all its lines stays with an empty text."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = lines.dedup_lines(docs, 20, 3, carry=carry).where("n_dropped < n_lines")
+    kept = lines.dedup_lines(docs, 20, 3, carry=carry)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
