@@ -11,7 +11,8 @@ Within a bucket the fingerprints stand in vertical bit planes, 64 to a machine
 word. A breadth-first walk takes one fingerprint at a time and compares it with
 all that are not yet reached: plane after plane the differing lanes are added
 into carry-save counters, and a block is abandoned once every lane in it exceeds
-the radius. Each bucket gives a forest of links, never all its pairs.
+the radius. Each bucket gives a forest of links, never all its pairs. Buckets of
+few members are compared together, with a lane for each pair.
 
 Edge cases: null and empty texts have no words and fingerprint zero, and link
 like any other; fewer words than a shingle form one shingle; repeated rows (also
@@ -37,6 +38,8 @@ from kinfold.operators.storage import written
 SEED = 42
 #: Members of a bucket that one task compares, and lanes of a block of planes.
 CELL, LANES = 2048, 4096
+#: Buckets up to SMALL members are compared together, PAIR_LANES pairs at a time.
+SMALL, PAIR_LANES, GATHER = 24, 1 << 16, 1 << 16
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -91,10 +94,10 @@ class Planes:
         """Take lanes out of all further comparisons."""
         np.bitwise_and.at(self.live, lanes >> 6, ~(np.uint64(1) << (lanes & 63).astype(np.uint64)))
 
-    def within(self, fp: int, radius: int) -> np.ndarray:
+    def within(self, fp: int, radius: int, lanes: int = LANES) -> np.ndarray:
         """Live lanes that differ from ``fp`` in at most ``radius`` bits."""
         found = []
-        step = LANES // 64
+        step = lanes // 64
         for lo in range(0, len(self.live), step):
             near = self.live[lo : lo + step].copy()
             if near.any():
@@ -140,9 +143,6 @@ def _over(counter: np.ndarray, radius: int) -> np.ndarray:
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (as positions) of a spanning forest of all pairs within the radius."""
-    if len(fps) == 2:
-        near = int(fps[0] ^ fps[1]).bit_count() <= radius
-        return (np.array([0]), np.array([1])) if near else (np.empty(0, int), np.empty(0, int))
     planes, parents, children = Planes(fps), [], []
     reached = np.zeros(len(fps), dtype=bool)
     for start in range(len(fps)):
@@ -163,6 +163,30 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parents), np.concatenate(children)) if parents else (np.empty(0, int), np.empty(0, int))
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of fingerprints are within the radius: a lane for each pair."""
+    found = []
+    for lo in range(0, len(a), PAIR_LANES):
+        planes = Planes(a[lo : lo + PAIR_LANES] ^ b[lo : lo + PAIR_LANES])
+        found.append(planes.within(0, radius, PAIR_LANES) + lo)
+    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+
+def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) of many small buckets at once."""
+    left, right = [], []
+    for size in np.unique(sizes):
+        own = starts[sizes == size]
+        x, y = np.triu_indices(size, 1)
+        step = max(1, (4 * PAIR_LANES) // len(x))
+        for lo in range(0, len(own), step):
+            a, b = ((own[lo : lo + step, None] + z[None, :]).ravel() for z in (x, y))
+            at = near_pairs(fps[a], fps[b], radius)
+            left.append(a[at])
+            right.append(b[at])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
+
+
 def block_keys(fp: F.Column, blocks: int, radius: int) -> F.Column:
     """The keys of one fingerprint: a table number and the bits of its blocks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -205,13 +229,16 @@ def links(classes: DataFrame, radius: int = 4, blocks: int = 6, cell: int = CELL
                 held = table.slice(bounds[-2]).combine_chunks().to_batches()[0]
                 bounds = bounds[:-1]
             unsigned = fp.view(np.uint64)
-            src, dst = [], []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if b - a > 1:
-                    x, y = forest(unsigned[a:b], radius)
-                    if len(x):
-                        src.append(rep[a:b][x])
-                        dst.append(rep[a:b][y])
+            starts, sizes = np.array(bounds[:-1], dtype=np.int64), np.diff(bounds)
+            few = (sizes > 1) & (sizes <= SMALL)
+            x, y = small_links(unsigned, starts[few], sizes[few], radius)
+            src, dst = ([rep[x]], [rep[y]]) if len(x) else ([], [])
+            for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                b = a + n
+                x, y = forest(unsigned[a:b], radius)
+                if len(x):
+                    src.append(rep[a:b][x])
+                    dst.append(rep[a:b][y])
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
@@ -219,7 +246,16 @@ def links(classes: DataFrame, radius: int = 4, blocks: int = 6, cell: int = CELL
 
 
 def _with_end(batches):
-    yield from (b for b in batches if b.num_rows)
+    """Batches joined to GATHER rows or more, then None."""
+    own, rows = [], 0
+    for batch in batches:
+        own.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHER:
+            yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            own, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
     yield None
 
 
@@ -253,7 +289,7 @@ def jaccard(a: str, b: str, words: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 7, blocks: int = 9, prints: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, blocks: int = 7, prints: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents whose shingle sets are alike.
 
     Several independent fingerprints propose links, each within the radius; a
