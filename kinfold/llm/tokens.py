@@ -24,6 +24,9 @@ from kinfold.llm.arrow import map_batches, texts
 
 #: The published split pattern of byte-level vocabularies (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same split for texts below U+0250, whose letters, numbers and spaces these are.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+LATIN_SPLIT = rf" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 #: Remembered pretokens of one worker, and the longest one that is remembered.
 CACHE, CACHE_CHARS = 300_000, 48
 
@@ -42,12 +45,12 @@ class Splitter:
         self.specials, self.path = set(specials), path
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.plain = regex.compile(SPLIT)
-        self.rare = re.compile("[԰-\U0010ffff]")
+        self.latin, self.beyond = re.compile(LATIN_SPLIT), re.compile("[ɐ-\U0010ffff]")
         self.exact = None
 
     def _find(self, text: str) -> list[str]:
-        if not self.rare.search(text):
-            return self.plain.findall(text)
+        if not self.beyond.search(text):
+            return self.latin.findall(text)
         if all(unicodedata.category(c) != "Cn" for c in set(text)):
             return self.plain.findall(text)
         if self.exact is None:  # characters that the two libraries' Unicode tables may class differently

@@ -42,3 +42,10 @@ def test_every_vocabulary_entry_is_one_token():
     tool = tokens.merger(PATH)
     back = {s: b for b, s in enumerate(tokens.byte_symbols())}
     assert all(tool.merged(bytes(back[c] for c in word)) == 1 for word in list(Tokenizer.from_file(PATH).get_vocab())[::97] if word != "<|endoftext|>")
+
+
+def test_latin_split_equals_published_pattern():
+    split = tokens.Splitter([], PATH)
+    for c in map(chr, range(0x250)):
+        text = f"a{c}1{c}!{c} {c}  {c}'s{c}'{c}'ll {c}{c} '{c}"
+        assert split.latin.findall(text) == split.plain.findall(text)
