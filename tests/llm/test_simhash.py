@@ -98,3 +98,23 @@ def test_similar_groups(spark):
     assert len(found) == len(rows) - 1
     assert {r.doc_id: r.component_id for r in found} == want
     assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_similar_groups_recall(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, pairs = [], []
+    while len(pairs) < 400:
+        base = word(int(rng.integers(60, 400)))
+        near = list(base)
+        for at in rng.choice(len(near), int(len(near) * rng.uniform(0.005, 0.025)) + 1, replace=False):
+            near[at] = word(1)[0]
+        if 0.8 <= simhash.jaccard(" ".join(base), " ".join(near), 5) <= 0.95:
+            pairs.append((2 * len(pairs), simhash.jaccard(" ".join(base), " ".join(near), 5)))
+            rows += [(pairs[-1][0], " ".join(base)), (pairs[-1][0] + 1, " ".join(near))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.951)):
+        hit = [found[i + 1] == i for i, j in pairs if low <= j < high]
+        print(f"recall at {low}-{high}: {sum(hit)} of {len(hit)}")
+        assert len(hit) > 20 and sum(hit) >= 0.95 * len(hit)
+    assert all(found[i] == i for i, _ in pairs)
