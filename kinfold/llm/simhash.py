@@ -40,6 +40,8 @@ SEED = 42
 CELL, LANES = 2048, 4096
 #: Buckets up to SMALL members are compared together, PAIR_LANES pairs at a time.
 SMALL, PAIR_LANES, GATHER = 24, 1 << 16, 1 << 16
+#: Ranks of the partners that a member of a larger bucket proposes in each round.
+RANKS = ((0, 1), (1, 8), (8, 64), (64, 512), (512, None))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -298,7 +300,50 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(row.astype("<u8").tobytes(), k) for k, row in enumerate(least)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 60, prints: int = 3, bands: int = 12, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ranked_pairs(fps: np.ndarray, comp: np.ndarray, side: np.ndarray, radius: int, ranks: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as positions) of different components within the radius, of each
+    member those with its nearest partners from one rank to another; if there are
+    two sides, pairs between them only. Over all ranks no pair is left out."""
+    left, right = [], []
+    both_ways = side.min() != side.max()
+    for lo in range(0, len(fps), 256):
+        at = np.arange(lo, min(lo + 256, len(fps)))
+        far = np.zeros((len(at), len(fps)), dtype=np.uint16)
+        for k in range(fps.shape[1]):
+            far += np.bitwise_count(fps[at, k, None] ^ fps[None, :, k])
+        far[far > radius] = 0xFFFF
+        far[at - lo, at] = 0xFFFF
+        if both_ways:
+            far[side[at, None] == side[None, :]] = 0xFFFF
+        order = np.argsort(far, axis=1, kind="stable")[:, slice(*ranks)]
+        x = np.broadcast_to(at[:, None], order.shape)
+        keep = (np.take_along_axis(far, order, axis=1) != 0xFFFF) & (comp[order] != comp[x])
+        left.append(x[keep])
+        right.append(order[keep])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def open_pairs(members: DataFrame, names: list[str], radius: int, ranks: tuple, cell: int) -> DataFrame:
+    """(src, dst) within the radius and of different components in buckets of over
+    SMALL members; ``members`` has key, rep, comp, n and the fingerprints."""
+    dealt = members.withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "rep", "comp", "own", *names, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        rep, comp, own = (group.column(c).to_numpy() for c in ("rep", "comp", "own"))
+        fps = np.stack([group.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+        across = group.column("p")[0] != group.column("q")[0]
+        if comp.min() == comp.max() or (across and own.min() == own.max()):
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
+        x, y = ranked_pairs(fps, comp, own, radius, ranks)
+        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        ends = np.unique(np.stack([a, b], axis=1), axis=0)
+        return pa.table({"src": pa.array(ends[:, 0]), "dst": pa.array(ends[:, 1])})
+
+    return dealt.groupBy("key", "p", "q").applyInArrow(meet, "src long, dst long")
+
+
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 60, prints: int = 3, bands: int = 12, rows: int = 5, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents whose shingle sets are alike.
 
     Documents meet in buckets of equal MinHash bands, a pair at similarity 0.8 in
@@ -306,6 +351,10 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radiu
     differ in at most ``radius`` of all 64 * ``prints`` bits (about 29 at similarity
     0.8, 96 without any) are proposed; a link counts if the exact Jaccard similarity
     of the two whole texts reaches ``similarity``. Rows without a doc_id are left out.
+
+    Members are held against the first of their bucket, then in rounds against their
+    nearest partners that no verified links connect them with yet, until no such
+    pair of a bucket is left: groups are those of all proposed pairs.
     """
     names = [f"fp{k}" for k in range(prints)]
 
@@ -329,6 +378,25 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radiu
         return {"src": kept.column("src"), "dst": kept.column("dst")}
 
     verified = lambda pairs: written(map_batches(bounded_batches(paired_texts(docs, pairs)), verify, "src long, dst long"), "verified")
-    parts = connected_components(verified(edges))
+    tested, held = edges, verified(edges)
+    parts = written(connected_components(held), "parts")
+    for number, ranks in enumerate(RANKS):
+        now = members.where("n > 2").drop("head").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        apart = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        now = written(now.join(apart, "key"), "apart")
+        if now.isEmpty():
+            break
+        large = now.where(F.col("n") > SMALL)
+        pairs = open_pairs(large, names, radius, ranks, cell)
+        if not number:
+            few = now.where(F.col("n") <= SMALL)
+            side = lambda name: few.select("key", *[F.col(c).alias(name + c) for c in ("rep", "comp", *names)])  # noqa: B023, E731
+            met = side("a").join(side("b"), "key").where((F.col("arep") < F.col("brep")) & (F.col("acomp") != F.col("bcomp")) & (bits("a", "b") <= radius))
+            pairs = pairs.unionByName(met.select(F.col("arep").alias("src"), F.col("brep").alias("dst")))
+        elif large.isEmpty():
+            break
+        pairs = written(pairs.distinct().join(tested, ["src", "dst"], "left_anti"), "proposed")
+        tested, held = tested.unionByName(pairs), held.unionByName(verified(pairs))
+        parts = written(connected_components(held), "parts")
     root = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("whole", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(root, "whole").select("doc_id", "component_id")

@@ -118,3 +118,35 @@ def test_similar_groups_recall(spark):
         print(f"recall at {low}-{high}: {sum(hit)} of {len(hit)}")
         assert len(hit) > 20 and sum(hit) >= 0.95 * len(hit)
     assert all(found[i] == i for i, _ in pairs)
+
+
+def test_similar_groups_of_large_buckets(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+    texts = []
+    for _ in range(300):
+        near = list(base)
+        for at in rng.choice(300, 4, replace=False):
+            near[at] = f"x{rng.integers(0, 10**9)}"
+        texts.append(near)
+    texts.insert(150, base)  # alike with each copy, which are less alike among themselves
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    near = [simhash.jaccard(rows[150][1], t, 5) for _, t in rows]
+    assert min(near) >= 0.8 > simhash.jaccard(rows[0][1], rows[1][1], 5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (100, 2048):
+        groups = {r.component_id for r in simhash.similar_groups(frame, cell=cell).collect()}
+        print("groups:", len(groups))
+        assert groups == {0}
+
+
+def test_ranked_pairs_leave_none_out():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 2**64, (1, 3), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (700, 3), dtype=np.uint64))
+    comp = rng.integers(0, 4, 700)
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=int)
+    for side in (np.zeros(700, int), rng.integers(0, 2, 700)):
+        ok = (far <= 5) & (comp[:, None] != comp) & ((side[:, None] != side) if side.any() else True)
+        found = [set(zip(*(z.tolist() for z in simhash.ranked_pairs(fps, comp, side, 5, r)), strict=True)) for r in simhash.RANKS]
+        assert set().union(*found) == set(zip(*(z.tolist() for z in np.nonzero(ok)), strict=True))
+        assert sum(map(len, found)) == ok.sum()
