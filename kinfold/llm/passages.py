@@ -10,11 +10,11 @@ similarity 0.8 and 81 % at 0.9, of which a changed passage has several. One row
 alone would fill buckets with all that share a frequent phrase. Paragraphs that
 collide with another document's are joined to the first of their bucket.
 
-Runs of paragraphs on one diagonal are then verified on the words themselves: a
-run is extended to both sides as far as words agree, and counts if it has over
-50 words and its exact Jaccard similarity is at least 0.8; of a less similar run
-the parts of over 50 equal words count. Overlapping spans of a
-document are one instance, and connected components over instances give the
+Paragraphs of two documents that collide within a band of shifts form a run, which
+is verified on the words themselves: both texts are followed to both sides over
+equal words and over gaps of up to GAP substituted, inserted or deleted words, and
+the longest stretches count that have over 50 words on both sides and an exact
+Jaccard similarity of at least 0.8. Overlapping spans of a document are one instance, and connected components over instances give the
 clusters, of which all but the first are to be removed.
 
 Edge cases: null and empty texts and rows without doc_id have no passages; rows
@@ -25,6 +25,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,6 +44,9 @@ UNIT, WINDOW, SHINGLE = 15, 36, 5
 BAND_ROWS = (0, 2)
 #: A passage has at least so many words and so similar shingles.
 LEAST_WORDS, SIMILARITY = 51, 0.8
+#: Words that may differ in one place, and equal words that end such a gap.
+GAP, RESUME = 24, 3
+MARGIN = LEAST_WORDS + GAP
 
 
 def words_of(text: str) -> list[bytes]:
@@ -100,78 +105,119 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def candidate_runs(docs: DataFrame) -> DataFrame:
-    """(src, dst, shift, a, b): words a to b of src stand in dst at a + shift."""
+    """(src, dst, a, b, c, d): words a to b of src may stand in dst at c to d."""
     keys = _keys(docs)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("dst"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("there")).where("dst <> last").select("key", "dst", "there")
-    pairs = keys.join(shared, "key").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst", (F.col("there") - F.col("pos")).alias("shift"), "pos").distinct()
-    line = W.partitionBy("src", "dst", "shift").orderBy("pos")
-    split = F.coalesce((F.col("pos") - F.lag("pos").over(line) > WINDOW + UNIT).cast("int"), F.lit(0))
-    runs = pairs.withColumn("split", split).withColumn("run", F.sum("split").over(line))
-    return runs.groupBy("src", "dst", "shift", "run").agg(F.min("pos").alias("a"), (F.max("pos") + UNIT).alias("b")).drop("run")
-
-
-def verified_spans(one: list[bytes], two: list[bytes], a: int, b: int) -> list[tuple[int, int]]:
-    """The spans of ``one`` around a to b that ``two`` repeats in place: the whole
-    stretch if it is similar enough, else every equal part of it; none too short."""
-    n = min(len(one), len(two))
-    same = np.fromiter((x == y for x, y in zip(one, two, strict=False)), dtype=bool, count=n)
-    b = min(b, n)
-    differs = np.flatnonzero(~same)
-    left, right = differs[differs < a], differs[differs >= b]
-    low, high = (int(left[-1]) + 1 if len(left) else 0), (int(right[0]) if len(right) else n)
-    inside = np.flatnonzero(same[low:high])
-    if not len(inside) or inside[-1] - inside[0] + 1 < LEAST_WORDS:
-        return []
-    low, high = low + int(inside[0]), low + int(inside[-1]) + 1
-    x, y = ({tuple(w[k : k + SHINGLE]) for k in range(low, high - SHINGLE + 1)} for w in (one, two))
-    if len(x & y) >= SIMILARITY * len(x | y):
-        return [(low, high)]
-    cuts = [low - 1, *(differs[(differs >= low) & (differs < high)]).tolist(), high]
-    return [(c + 1, d) for c, d in zip(cuts, cuts[1:], strict=False) if d - c - 1 >= LEAST_WORDS]
+    pairs = keys.join(shared, "key").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst", "pos", "there").distinct()
+    return joined_runs(pairs)
+
+
+def joined_runs(pairs: DataFrame) -> DataFrame:
+    """Runs of (src, dst, pos, there) over near places and a band of shifts."""
+    line = W.partitionBy("src", "dst").orderBy(F.floor((F.col("there") - F.col("pos")) / F.lit(4 * GAP)), "pos", "there")
+    shift = F.col("there") - F.col("pos")
+    far = (F.col("pos") - F.lag("pos").over(line) > MARGIN) | (F.col("pos") < F.lag("pos").over(line)) | (F.abs(shift - F.lag(shift).over(line)) > GAP)
+    runs = pairs.withColumn("split", F.coalesce(far.cast("int"), F.lit(0))).withColumn("run", F.sum("split").over(line))
+    return runs.groupBy("src", "dst", "run").agg(F.min("pos").alias("a"), (F.max("pos") + UNIT).alias("b"), F.min_by("there", "pos").alias("c"), (F.max("there") + UNIT).alias("d")).drop("run")
+
+
+def followed(one: list[bytes], two: list[bytes], x: int, y: int) -> list[tuple[int, int, int]]:
+    """Equal blocks (x, y, length) from x and y on, over gaps of up to GAP words."""
+    blocks = []
+    while True:
+        n = 0
+        for v, w in zip(islice(one, x, None), islice(two, y, None), strict=False):
+            if v != w:
+                break
+            n += 1
+        if n:
+            blocks.append((x, y, n))
+        x, y = x + n, y + n
+        ahead: dict[tuple, int] = {}
+        for j in range(min(GAP, len(two) - y - RESUME) + 1):
+            ahead.setdefault(tuple(two[y + j : y + j + RESUME]), j)
+        met = [(max(i, j), i + j, i, j) for i in range(min(GAP, len(one) - x - RESUME) + 1) if (j := ahead.get(tuple(one[x + i : x + i + RESUME]))) is not None]
+        if not met:
+            return blocks
+        x, y = x + min(met)[2], y + min(met)[3]
+
+
+def shingle_similarity(one: list[bytes], two: list[bytes]) -> float:
+    """Exact Jaccard similarity of the two sides' shingle sets."""
+    x, y = ({tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)} for w in (one, two))
+    return len(x & y) / max(1, len(x | y))
+
+
+def verified_spans(one: list[bytes], two: list[bytes], a: int, c: int) -> list[tuple[int, int, int, int]]:
+    """Spans (start, end of one, start, end of two) around a paragraph at a and c:
+    the longest stretches of equal blocks that are long and similar enough."""
+    back = [(len(one[:a]) - x - n, len(two[:c]) - y - n, n) for x, y, n in followed(one[:a][::-1], two[:c][::-1], 0, 0)]
+    blocks = back[::-1] + followed(one, two, a, c)
+    found, todo = [], [(0, len(blocks))]
+    while todo:
+        low, high = todo.pop()
+        stretches = []
+        for i in range(low, high):
+            common = 0
+            for j in range(i, high):
+                common += max(0, blocks[j][2] - SHINGLE + 1)
+                m, n = (blocks[j][k] + blocks[j][2] - blocks[i][k] for k in (0, 1))
+                # shingles outside of the blocks can be equal by chance only, so few more are common
+                if min(m, n) >= LEAST_WORDS and common + SHINGLE >= 0.75 * (m + n - 2 * SHINGLE + 2 - common):
+                    stretches.append((m + n, i, j))
+        for _, i, j in sorted(stretches, reverse=True):
+            span = (blocks[i][0], blocks[j][0] + blocks[j][2], blocks[i][1], blocks[j][1] + blocks[j][2])
+            if shingle_similarity(one[span[0] : span[1]], two[span[2] : span[3]]) >= SIMILARITY:
+                found.append(span)
+                todo += [(low, i), (j + 1, high)]
+                break
+    return sorted(found)
 
 
 def _slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each run with the words of both sides, LEAST_WORDS more at both ends."""
-    side = lambda doc, shift, number: F.struct(F.col(doc).alias("doc_id"), (F.col("a") + shift).alias("lo"), (F.col("b") + shift).alias("hi"), F.lit(number).alias("side"))
-    asked = runs.select("src", "dst", "shift", "a", "b", F.explode(F.array(side("src", F.lit(0), 0), side("dst", F.col("shift"), 1))).alias("x")).select("src", "dst", "shift", "a", "b", "x.*")
+    """Each run with the words of both sides, MARGIN more at both ends."""
+    side = lambda doc, lo, hi, number: F.struct(F.col(doc).alias("doc_id"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.lit(number).alias("side"))
+    asked = runs.select("src", "dst", "a", "c", F.explode(F.array(side("src", "a", "b", 0), side("dst", "c", "d", 1))).alias("x")).select("src", "dst", "a", "c", "x.*")
     joined = docs.join(asked, "doc_id")
 
     def cut(batch):
-        out = {c: batch.column(c) for c in ("src", "dst", "shift", "a", "b", "side")} | {"words": [], "begin": []}
+        out = {k: batch.column(k) for k in ("src", "dst", "a", "c", "side")} | {"words": [], "begin": []}
         last, words = None, []
-        for text, shift, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("text", "shift", "a", "b", "side")), strict=True):
+        for text, lo, hi in zip(*(batch.column(k).to_pylist() for k in ("text", "lo", "hi")), strict=True):
             if text is not last:
                 words = words_of(text) if text != last else words
                 last = text
-            begin = max(0, a - LEAST_WORDS, -shift)  # both sides begin at the same place of src
-            begin += shift if s else 0
-            end = b + LEAST_WORDS + (shift if s else 0)
-            out["words"].append(b" ".join(words[begin:end]))
+            begin = max(0, lo - MARGIN)
+            out["words"].append(b" ".join(words[begin : hi + MARGIN]))
             out["begin"].append(begin)
         return out
 
-    cut_words = map_batches(bounded_batches(joined), cut, "src long, dst long, shift int, a int, b int, side int, words binary, begin int")
-    pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
-    return cut_words.groupBy("src", "dst", "shift", "a", "b").agg(pick("words", 0).alias("one"), pick("words", 1).alias("two"), pick("begin", 0).alias("begin"))
+    cut_words = map_batches(bounded_batches(joined), cut, "src long, dst long, a int, c int, side int, words binary, begin int")
+    pick = lambda k, s: F.max(F.when(F.col("side") == s, F.col(k)))
+    return cut_words.groupBy("src", "dst", "a", "c").agg(pick("words", 0).alias("one"), pick("words", 1).alias("two"), pick("begin", 0).alias("at"), pick("begin", 1).alias("there"))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(src, start, end, dst, dst_start): verified repeats, in words."""
+    """(src, start, end, dst, dst_start, dst_end): verified repeats, in words."""
     docs = texts(df, id_col, text_col).where("doc_id is not null")
-    runs = written(candidate_runs(docs), "runs")
+    return checked(docs, written(candidate_runs(docs), "runs"))
+
+
+def checked(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The spans that the words of both sides of the runs bear out."""
 
     def verify(batch):
-        out: dict[str, list] = {c: [] for c in ("src", "start", "end", "dst", "dst_start")}
+        out: dict[str, list] = {k: [] for k in ("src", "start", "end", "dst", "dst_start", "dst_end")}
         for r in batch.to_pylist():
             if r["one"] is None or r["two"] is None:
                 continue
-            begin = r["begin"]
-            for low, high in verified_spans(r["one"].split(), r["two"].split(), r["a"] - begin, r["b"] - begin):
-                for c, v in zip(out, (r["src"], low + begin, high + begin, r["dst"], low + begin + r["shift"]), strict=True):
-                    out[c].append(v)
+            at, there = r["at"], r["there"]
+            for low, high, first, last in verified_spans(r["one"].split(), r["two"].split(), r["a"] - at, r["c"] - there):
+                for k, v in zip(out, (r["src"], low + at, high + at, r["dst"], first + there, last + there), strict=True):
+                    out[k].append(v)
         return out
 
-    return map_batches(bounded_batches(_slices(docs, runs)), verify, "src long, start int, end int, dst long, dst_start int")
+    return map_batches(bounded_batches(_slices(docs, runs)), verify, "src long, start int, end int, dst long, dst_start int, dst_end int")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +225,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_words, component_doc, component_start, kept. Documents without repeats have
     no row. Of a component, the instance in the smallest document is kept."""
     spans = written(repeated_spans(df, id_col, text_col), "spans")
-    ends = spans.select(F.explode(F.array(F.struct(F.col("src").alias("doc_id"), F.col("start").alias("s"), F.col("end").alias("e")), F.struct(F.col("dst").alias("doc_id"), F.col("dst_start").alias("s"), (F.col("dst_start") + F.col("end") - F.col("start")).alias("e")))).alias("x")).select("x.*").distinct()
+    ends = spans.select(F.explode(F.array(F.struct(F.col("src").alias("doc_id"), F.col("start").alias("s"), F.col("end").alias("e")), F.struct(F.col("dst").alias("doc_id"), F.col("dst_start").alias("s"), F.col("dst_end").alias("e")))).alias("x")).select("x.*").distinct()
     before = W.partitionBy("doc_id").orderBy("s", "e")
     opens = F.coalesce((F.col("s") >= F.max("e").over(before.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1))
     islands = ends.withColumn("opens", opens).withColumn("island", F.sum("opens").over(before))
@@ -188,7 +234,6 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = lambda doc, at: F.concat_ws(":", F.lpad(F.col(doc).cast("string"), 20, "0"), F.lpad(F.col(at).cast("string"), 12, "0"))
     nodes = islands.select("doc_id", "s", "e", name("doc_id", "first").alias("node"))
     left = spans.join(nodes.select(F.col("doc_id").alias("src"), F.col("s").alias("start"), F.col("e").alias("end"), F.col("node").alias("x")), ["src", "start", "end"])
-    left = left.withColumn("dst_end", F.col("dst_start") + F.col("end") - F.col("start"))
     edges = left.join(nodes.select(F.col("doc_id").alias("dst"), F.col("s").alias("dst_start"), F.col("e").alias("dst_end"), F.col("node").alias("y")), ["dst", "dst_start", "dst_end"]).select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
     parts = connected_components(edges)
     known = islands.select("doc_id", F.col("first").alias("start_word"), F.col("last").alias("end_word"), name("doc_id", "first").alias("node")).distinct()

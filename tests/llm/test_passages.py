@@ -2,6 +2,9 @@ import random
 
 from kinfold.llm import passages
 
+#: Share of edited passages of similarity 0.8 or more that must be found.
+EDITED = 0.6
+
 
 def corpus(seed):
     rnd = random.Random(seed)
@@ -59,3 +62,45 @@ def test_same_span_in_one_document_only(spark):
     text = " ".join(f"w{k}" for k in range(60))
     assert passages.repeated_passages(spark.createDataFrame([(1, text + " and " + text)], "doc_id long, text string")).collect() == []
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def edited_corpus(lengths, kinds, each, least):
+    """Pairs of documents with a passage and its edited copy, and which pair has which."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    rows, asked = [], {}
+    for n in lengths:
+        for kind in kinds:
+            done = 0
+            while done < each:
+                one = [word() for _ in range(n)]
+                two = list(one)
+                for k in range(max(1, n // 50)):
+                    at = n // 2 if k == 0 else rnd.randrange(n)
+                    two[at : at + (kind != "insert")] = [] if kind == "delete" else [word()]
+                x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (one, two))
+                if len(two) <= 50 or len(x & y) < least * len(x | y):
+                    continue
+                doc = 2 * len(asked)
+                asked[doc] = (n, kind)
+                rows += [(doc + side, " ".join([word() for _ in range(60)] + text + [word() for _ in range(60)])) for side, text in enumerate((one, two))]
+                done += 1
+    return rows, asked
+
+
+def test_edited_passages(spark):
+    rows, asked = edited_corpus((52, 60, 80, 100, 150), ("substitute", "insert", "delete"), 20, 0.8)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {i for i in {r.doc_id for r in found} if i in asked}
+    for kind in ("substitute", "insert", "delete"):
+        print(kind, [(n, sum(i in hit for i, x in asked.items() if x == (n, kind)), 20) for n in (52, 60, 80, 100, 150)])
+    assert all(r.component_doc == r.doc_id - r.doc_id % 2 for r in found)
+    assert len(hit) >= EDITED * len(asked)
+
+
+def test_spans_over_edits():
+    base = [b"w%d" % k for k in range(80)]
+    for edit, size in (([b"x"], 0), ([b"x"], 1), ([], 1)):
+        two = [b"a", b"b"] + base[:40] + edit + base[40 + size :] + [b"c"]
+        assert passages.verified_spans([b"d"] + base, two, 1 + 5, 2 + 5) == [(1, 81, 2, len(two) - 1)]
+    assert passages.verified_spans(base, base[:30] + [b"x"] * 30 + base[60:], 0, 0) == []
