@@ -2,13 +2,14 @@
 
 A passage may sit anywhere inside other text, so paragraphs are content-defined:
 UNIT words from each anchor, an anchor being the smallest hash in some window of
-WINDOW places. Any text of UNIT + WINDOW - 1 = 50 words has an anchor of its own
-whatever surrounds it, so a passage of over 50 words shares a paragraph with
-each of its copies. Paragraphs are banded twice: by all their five-word shingles,
-which finds every equal one, and by two MinHash rows, which finds 64 % of those at
-similarity 0.8 and 81 % at 0.9, of which a changed passage has several. One row
-alone would fill buckets with all that share a frequent phrase. Paragraphs that
-collide with another document's are joined to the first of their bucket.
+places. They are banded twice. By all their five-word shingles, which finds every
+equal one, with windows of NEAR places: any 25 equal words have an anchor of their
+own, and a passage of over 50 words keeps 25 equal words in a row at similarity 0.8
+(one word in the middle of 51 changed leaves 25, more changes need a longer text).
+By two MinHash rows, with windows of WINDOW places, which finds changed paragraphs
+too. One row alone would fill buckets with all that share a frequent phrase.
+Paragraphs that collide with another document's are joined to the first of their
+bucket.
 
 Paragraphs of two documents that collide within a band of shifts form a run, which
 is verified on the words themselves: both texts are followed to both sides over
@@ -39,9 +40,9 @@ from kinfold.llm.arrow import bounded_batches, map_batches, texts
 from kinfold.operators.components import connected_components
 from kinfold.operators.storage import written
 
-UNIT, WINDOW, SHINGLE = 15, 36, 5
-#: MinHash rows of each band; 0 stands for all shingles in order.
-BAND_ROWS = (0, 2)
+UNIT, WINDOW, NEAR, SHINGLE = 15, 36, 11, 5
+#: MinHash rows of each band, 0 standing for all shingles in order, and its windows.
+BANDS = ((0, NEAR), (2, WINDOW))
 #: A passage has at least so many words and so similar shingles.
 LEAST_WORDS, SIMILARITY = 51, 0.8
 #: Words that may differ in one place, and equal words that end such a gap.
@@ -77,18 +78,19 @@ def paragraph_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
     places = len(words) - UNIT + 1
     order = grams(hashes, 3)[:places]
-    at = np.unique(sliding_window_view(order, WINDOW).argmin(1) + np.arange(places - WINDOW + 1))
     shingles = grams(hashes, SHINGLE)
-    keys = []
-    for rows in BAND_ROWS:  # of all rows, that is every shingle, equal paragraphs alone collide
+    keys, places_of = [], []
+    for rows, window in BANDS:  # of all rows, that is every shingle, equal paragraphs alone collide
+        at = np.unique(sliding_window_view(order, window).argmin(1) + np.arange(places - window + 1))
         views = [sliding_window_view(_mix(shingles, 100 + row), UNIT - SHINGLE + 1)[at].min(1) for row in range(rows)]
         least = np.zeros(len(at), dtype=np.uint64)
         for row, view in enumerate(views or sliding_window_view(shingles, UNIT - SHINGLE + 1)[at].T):
             least = _mix(least ^ view, 50 + row)
         keys.append(_mix(least, 200 + rows))
+        places_of.append(at)
     key = np.concatenate(keys).view(np.int64)
     key, first = np.unique(key, return_index=True)
-    return key, np.tile(at, len(BAND_ROWS))[first].astype(np.int32)
+    return key, np.concatenate(places_of)[first].astype(np.int32)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
