@@ -8,8 +8,11 @@ own, and a passage of over 50 words keeps 25 equal words in a row at similarity
 (one word in the middle of 51 changed leaves 25, more changes need a longer text).
 By two MinHash rows, with windows of WINDOW places, which finds changed paragraphs
 too. One row alone would fill buckets with all that share a frequent phrase.
-Paragraphs that collide with another document's are joined to the first of their
-bucket.
+A paragraph that collides with another document's is joined to the first of its
+bucket, and to the first of those in the bucket that also agree in the CONTEXT words
+before it, after it, or both: documents that share a passage around a frequent line
+meet whoever holds the line first. Every place of a paragraph is joined; those in the
+first document go to the next document's first.
 
 Paragraphs of two documents that collide within a band of shifts form a run, which
 is verified on the words themselves: both texts are followed to both sides over
@@ -37,12 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kinfold.llm.arrow import bounded_batches, map_batches, texts
+from kinfold.llm.simhash import _with_end as with_end
 from kinfold.operators.components import connected_components
 from kinfold.operators.storage import written
 
 UNIT, WINDOW, NEAR, SHINGLE = 15, 36, 11, 5
 #: MinHash rows of each band, 0 standing for all shingles in order, and its windows.
 BANDS = ((0, NEAR), (2, WINDOW))
+#: Words beside a paragraph; 51 words have an anchor with these after it (or before).
+CONTEXT = 51 - NEAR + 1 - UNIT
 #: A passage has at least so many words and so similar shingles.
 LEAST_WORDS, SIMILARITY = 51, 0.8
 #: Words that may differ in one place, and equal words that end such a gap.
@@ -71,10 +77,11 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def paragraph_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (signed) and where their paragraphs begin, each key once."""
+def paragraph_keys(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Band keys (signed), where their paragraphs begin, and hashes of the CONTEXT
+    words before and after them (fewer at the ends of the text)."""
     if len(words) < LEAST_WORDS:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
+        return np.empty(0, np.int64), *(np.empty(0, np.int32) for _ in range(3))
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
     places = len(words) - UNIT + 1
     order = grams(hashes, 3)[:places]
@@ -88,39 +95,60 @@ def paragraph_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             least = _mix(least ^ view, 50 + row)
         keys.append(_mix(least, 200 + rows))
         places_of.append(at)
-    key = np.concatenate(keys).view(np.int64)
-    key, first = np.unique(key, return_index=True)
-    return key, np.concatenate(places_of)[first].astype(np.int32)
+    at = np.concatenate(places_of)
+    around = grams(np.concatenate([np.zeros(CONTEXT, np.uint64), hashes, np.zeros(CONTEXT, np.uint64)]), CONTEXT)
+    short = lambda x: (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return np.concatenate(keys).view(np.int64), at.astype(np.int32), short(around[at]), short(around[at + UNIT + CONTEXT])
 
 
 def _keys(docs: DataFrame) -> DataFrame:
     def make(batch):
-        key, pos, doc = [], [], []
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            k, p = paragraph_keys(words_of(text))
-            key.append(k)
-            pos.append(p)
-            doc.append(np.full(len(k), i, dtype=np.int64))
-        return {"key": pa.array(np.concatenate(key)), "doc_id": pa.array(np.concatenate(doc)), "pos": pa.array(np.concatenate(pos))}
-
-    return map_batches(docs, make, "key long, doc_id long, pos int")
+        found = [paragraph_keys(words_of(t)) for t in batch.column("text").to_pylist()]
+        doc = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), [len(f[0]) for f in found])
+        return {"doc_id": pa.array(doc)} | {c: pa.array(np.concatenate(x)) for c, x in zip(("key", "pos", "before", "after"), zip(*found, strict=True), strict=True)}
+
+    return map_batches(docs, make, "key long, doc_id long, pos int, before int, after int")
+
+
+def _of_several(batches):
+    """Of rows in the order of keys, those whose key is in several documents."""
+    held = None
+    for batch in with_end(batches):
+        parts = [b for b in (held, batch) if b is not None]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        if batch is not None:  # the last key may go on in the next batch
+            bounds = bounds[:-1]
+            held = table.slice(int(bounds[-1])).combine_chunks().to_batches()[0]
+        if len(bounds) > 1:
+            several = np.minimum.reduceat(doc[: bounds[-1]], bounds[:-1]) < np.maximum.reduceat(doc[: bounds[-1]], bounds[:-1])
+            yield from table.slice(0, int(bounds[-1])).filter(pa.array(np.repeat(several, np.diff(bounds)))).to_batches()
 
 
 def candidate_runs(docs: DataFrame) -> DataFrame:
     """(src, dst, a, b, c, d): words a to b of src may stand in dst at c to d."""
-    keys = _keys(docs)
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("dst"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("there")).where("dst <> last").select("key", "dst", "there")
-    pairs = keys.join(shared, "key").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst", "pos", "there").distinct()
-    return joined_runs(pairs)
+    shared = bounded_batches(_keys(docs).repartition("key").sortWithinPartitions("key")).mapInArrow(_of_several, "key long, doc_id long, pos int, before int, after int")
+    me, targets = F.struct("doc_id", "pos"), []
+    for number, more in enumerate(((), ("before",), ("after",), ("before", "after"))):
+        own, first, second = W.partitionBy("key", *more), f"first{number}", f"second{number}"
+        shared = shared.withColumn(first, F.min(me).over(own))
+        shared = shared.withColumn(second, F.min(F.when(F.col("doc_id") > F.col(first).doc_id, me)).over(own))
+        # the first itself is what others go to; its document's other places go on to the second
+        targets.append(F.when(F.col("doc_id") > F.col(first).doc_id, F.col(first)).when(F.col("pos") > F.col(first).pos, F.col(second)))
+    pairs = shared.select(F.col("doc_id").alias("src"), "pos", F.explode(F.array_distinct(F.array(*targets))).alias("x")).where("x is not null")
+    return joined_runs(pairs.select("src", F.col("x.doc_id").alias("dst"), "pos", F.col("x.pos").alias("there")).distinct())
 
 
 def joined_runs(pairs: DataFrame) -> DataFrame:
     """Runs of (src, dst, pos, there) over near places and a band of shifts."""
-    line = W.partitionBy("src", "dst").orderBy(F.floor((F.col("there") - F.col("pos")) / F.lit(4 * GAP)), "pos", "there")
-    shift = F.col("there") - F.col("pos")
-    far = (F.col("pos") - F.lag("pos").over(line) > MARGIN) | (F.col("pos") < F.lag("pos").over(line)) | (F.abs(shift - F.lag(shift).over(line)) > GAP)
+    pairs = pairs.withColumn("band", F.floor((F.col("there") - F.col("pos")) / F.lit(GAP)))
+    line = W.partitionBy("src", "dst", "band").orderBy("pos", "there")
+    far = F.col("pos") - F.lag("pos").over(line) > MARGIN
     runs = pairs.withColumn("split", F.coalesce(far.cast("int"), F.lit(0))).withColumn("run", F.sum("split").over(line))
-    return runs.groupBy("src", "dst", "run").agg(F.min("pos").alias("a"), (F.max("pos") + UNIT).alias("b"), F.min_by("there", "pos").alias("c"), (F.max("there") + UNIT).alias("d")).drop("run")
+    return runs.groupBy("src", "dst", "band", "run").agg(F.min("pos").alias("a"), (F.max("pos") + UNIT).alias("b"), F.min_by("there", "pos").alias("c"), (F.max("there") + UNIT).alias("d")).drop("band", "run")
 
 
 def followed(one: list[bytes], two: list[bytes], x: int, y: int) -> list[tuple[int, int, int]]:

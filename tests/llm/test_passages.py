@@ -104,3 +104,32 @@ def test_spans_over_edits():
         two = [b"a", b"b"] + base[:40] + edit + base[40 + size :] + [b"c"]
         assert passages.verified_spans([b"d"] + base, two, 1 + 5, 2 + 5) == [(1, 81, 2, len(two) - 1)]
     assert passages.verified_spans(base, base[:30] + [b"x"] * 30 + base[60:], 0, 0) == []
+
+
+def test_passages_around_a_frequent_line(spark):
+    rnd = random.Random(9)
+    prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, shared = [], []
+    for k in range(30):
+        line = prose(35)
+        text = prose(12) + line + prose(13)
+        rows += [(10 * k, " ".join(prose(60) + line + prose(60)))]
+        rows += [(10 * k + d, " ".join(prose(60) + text + prose(60))) for d in (1, 2)]
+        shared += [10 * k + 1, 10 * k + 2]
+    for k in range(30, 60):  # the first document has the line alone as well
+        line = prose(45)
+        text = prose(5) + line + prose(5)
+        rows += [(10 * k, " ".join(prose(60) + line + prose(60) + text + prose(60))), (10 * k + 1, " ".join(prose(60) + text + prose(60)))]
+        shared += [10 * k, 10 * k + 1]
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("shared", [sum(i in found for i in shared if (i < 300) == one) for one in (True, False)], [60, 60])
+    assert sorted(found) == sorted(shared)
+
+
+def test_every_place_in_the_first_document(spark):
+    rnd = random.Random(10)
+    prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    text = prose(60)
+    rows = [(1, " ".join(prose(70) + text + prose(70) + text + prose(70))), (2, " ".join(prose(20) + text))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_words) for r in found) == [(1, 70, 60), (1, 200, 60), (2, 20, 60)]
