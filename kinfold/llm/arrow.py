@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of a batch handed to Python, so that long texts cannot pile up.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Rows that operators on many small groups gather before they begin.
+GATHER = 1 << 16
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -47,3 +50,34 @@ def pa_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to GATHER rows or more."""
+    own, rows = [], 0
+    for batch in batches:
+        own.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHER:
+            yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            own, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Of rows in the order of ``names``: batches that cut no group in two, each
+    with the bounds of its groups (one more than there are groups)."""
+    held = None
+    for batch in gathered(batches):
+        whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        edge = np.zeros(whole.num_rows - 1, dtype=bool)
+        for name in names:
+            column = whole.column(name).to_numpy()
+            edge |= column[1:] != column[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(edge) + 1])
+        held = whole.slice(int(bounds[-1]))  # the last group may go on in the next batch
+        if len(bounds) > 1:
+            yield whole.slice(0, int(bounds[-1])), bounds
+    if held is not None:
+        yield held, np.array([0, held.num_rows])

@@ -39,8 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinfold.llm.arrow import bounded_batches, map_batches, texts
-from kinfold.llm.simhash import _with_end as with_end
+from kinfold.llm.arrow import bounded_batches, map_batches, texts, whole_groups
 from kinfold.operators.components import connected_components
 from kinfold.operators.storage import written
 
@@ -112,20 +111,11 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 def _of_several(batches):
     """Of rows in the order of keys, those whose key is in several documents."""
-    held = None
-    for batch in with_end(batches):
-        parts = [b for b in (held, batch) if b is not None]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
-        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        if batch is not None:  # the last key may go on in the next batch
-            bounds = bounds[:-1]
-            held = table.slice(int(bounds[-1])).combine_chunks().to_batches()[0]
-        if len(bounds) > 1:
-            several = np.minimum.reduceat(doc[: bounds[-1]], bounds[:-1]) < np.maximum.reduceat(doc[: bounds[-1]], bounds[:-1])
-            yield from table.slice(0, int(bounds[-1])).filter(pa.array(np.repeat(several, np.diff(bounds)))).to_batches()
+    for batch, bounds in whole_groups(batches, ("key",)):
+        doc = batch.column("doc_id").to_numpy()
+        several = np.minimum.reduceat(doc, bounds[:-1]) < np.maximum.reduceat(doc, bounds[:-1])
+        if several.any():
+            yield batch.filter(pa.array(np.repeat(several, np.diff(bounds))))
 
 
 def candidate_runs(docs: DataFrame) -> DataFrame:
