@@ -1,5 +1,10 @@
+import collections
 import random
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from kinfold.llm import passages
 
 #: Share of edited passages of similarity 0.8 or more that must be found.
@@ -99,11 +104,12 @@ def test_edited_passages(spark):
 
 
 def test_spans_over_edits():
-    base = [b"w%d" % k for k in range(80)]
-    for edit, size in (([b"x"], 0), ([b"x"], 1), ([], 1)):
-        two = [b"a", b"b"] + base[:40] + edit + base[40 + size :] + [b"c"]
-        assert passages.verified_spans([b"d"] + base, two, 1 + 5, 2 + 5) == [(1, 81, 2, len(two) - 1)]
-    assert passages.verified_spans(base, base[:30] + [b"x"] * 30 + base[60:], 0, 0) == []
+    base = [f"w{k}" for k in range(80)]
+    spans = lambda one, two, a, c: passages.verified_spans(passages.word_hashes(" ".join(one)), passages.word_hashes(" ".join(two)), [(a, c)])
+    for edit, size in ((["x"], 0), (["x"], 1), ([], 1)):
+        two = ["a", "b"] + base[:40] + edit + base[40 + size :] + ["c"]
+        assert spans(["d"] + base, two, 1 + 5, 2 + 5) == [(1, 81, 2, len(two) - 1)]
+    assert spans(base, base[:30] + ["x"] * 30 + base[60:], 0, 0) == []
 
 
 def test_passages_around_a_frequent_line(spark):
@@ -133,3 +139,89 @@ def test_every_place_in_the_first_document(spark):
     rows = [(1, " ".join(prose(70) + text + prose(70) + text + prose(70))), (2, " ".join(prose(20) + text))]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.start_word, r.n_words) for r in found) == [(1, 70, 60), (1, 200, 60), (2, 20, 60)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "b", "é", "É", "Ab", "aB", " ", "\n", "\x0b", "\t", "\u2003", "xyz"]), max_size=40).map("".join), st.sampled_from([7, 1 << 20]))
+def test_word_hashes_tell_words(text, chunk):
+    old, passages.CHUNK = passages.CHUNK, chunk
+    try:
+        words, found = passages.words_of(text), passages.word_hashes(text).tolist()
+    finally:
+        passages.CHUNK = old
+    assert len(found) == len(words)
+    assert len(set(zip(words, found))) == len(set(words)) == len(set(found))
+
+
+def test_grams_tell_runs():
+    words = np.random.default_rng(1).integers(0, 3, 400).astype(np.uint64)
+    for n in (1, 3, 5, 26):
+        found, runs = passages.grams(words, n).tolist(), [tuple(words[k : k + n].tolist()) for k in range(400 - n + 1)]
+        assert len(found) == len(runs) and len(set(zip(runs, found))) == len(set(runs)) == len(set(found))
+    assert len(passages.grams(words[:2], 3)) == 0
+
+
+def test_heavy_keys_give_the_same(spark, monkeypatch):
+    rows, _, _ = corpus(5)
+    rnd = random.Random(5)
+    line = [f"v{k}" for k in range(40)]
+    rows = [(i, t + " " + " ".join(line) + f" end{i} " + rnd.choice(["x ", "y "]) * 20) for i, t in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    normal = sorted(map(tuple, passages.repeated_passages(frame).collect()))
+    monkeypatch.setattr(passages, "SAMPLE", 1)
+    heavy = passages.heavy_keys(passages.texts(frame))
+    assert len(heavy) and sorted(map(tuple, passages.repeated_passages(frame).collect())) == normal
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rnd = random.Random(12)
+    prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    one, two = prose(60), prose(70)
+    rows = [(1, " ".join(prose(30) + one)), (1, " ".join(two)), (2, " ".join(one)), (3, " ".join(prose(90) + two + prose(9))), (3, " ".join(two)), (-4, " ".join(prose(7) + one))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_doc for r in found if r.n_words == 60} == {-4: -4, 1: -4, 2: -4}
+    assert {r.doc_id: r.component_doc for r in found if r.n_words == 70} == {1: 1, 3: 1}
+
+
+def brute_documents(rows):
+    """Documents that share a run of over 50 equal words with another."""
+    runs = collections.defaultdict(set)
+    for i, t in rows:
+        words = (t or "").lower().split()
+        for k in range(len(words) - 50):
+            runs[tuple(words[k : k + 51])].add(i)
+    return {i for docs in runs.values() if len(docs) > 1 for i in docs}
+
+
+def test_exact_repeats_equal_brute_force(spark):
+    for seed in (21, 22):
+        rnd = random.Random(seed)
+        pool = [[f"p{rnd.randrange(60)}" for _ in range(rnd.randrange(10, 90))] for _ in range(25)]
+        rows = [(i, " ".join(w for _ in range(rnd.randrange(5)) for w in rnd.choice(pool) + [f"u{rnd.randrange(10**6)}"] * rnd.randrange(2))) for i in range(80)]
+        want = brute_documents(rows)
+        found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        print("missed", len(want - found), "of", len(want))
+        assert len(want) > 20 and want <= found
+
+
+def test_small_table_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute_documents([(r.doc_id, r.text) for r in docs.collect()])
+    assert want and want <= {r.doc_id for r in passages.repeated_passages(docs).collect()}
+
+
+def test_very_long_text(spark):
+    long = [f"w{k}" for k in range(250_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["a", "b"] + long[199_000:199_100]))]
+    found = sorted(map(tuple, passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_id").collect()))
+    assert found == [(1, 199_000, 199_100, 100, 1, 199_000, True), (2, 2, 102, 100, 1, 199_000, False)]
+
+
+def test_keys_of_a_text_do_not_depend_on_others():
+    rows, _, _ = corpus(4)
+    texts = ["", "one"] + [t for _, t in rows] + [""]
+    together = passages.paragraph_keys(texts)
+    for k in (0, 2, 5, len(texts) - 2):
+        alone, own = passages.paragraph_keys([texts[k]]), together[1] == k
+        for n in (0, 2, 3, 4):
+            assert alone[n].tolist() == together[n][own].tolist()
