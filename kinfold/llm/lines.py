@@ -1,15 +1,18 @@
 """Operator 7: reversible line dedup over sharded cuckoo filters.
 
 A line's key is a 128-bit hash of the line stripped at both ends with A-Z
-folded. Keys are dealt to shards. A shard has a cuckoo filter with one entry for
-each key it holds, backed by an exact table of references (key, document). A
-key that the filter does not know is new without a look at the table; one that
-it may know is looked up exactly. Documents can be inserted and deleted at any
-time: a key leaves the filter when its last reference goes, so every dedup
-decision can be undone.
+folded. An index holds the references (key, document) as rows, and for each shard
+of keys a cuckoo filter with one entry for each key. Documents come in batches. A
+key that stands once in a batch and that the filter does not know is new: it needs
+no look at the references. Keys that a filter admits, and those of several
+documents of a batch, are looked up and counted exactly. A filter never denies a key it holds; one that ran full admits every key.
 
-Very frequent keys (more than a 512th of all references, so fewer than 512 of
-them) are counted by aggregation and never meet in a shard.
+Documents can be inserted and deleted at any time: a key leaves its filter when
+its last reference goes, so every dedup decision can be undone.
+
+A shard sees each key of a batch once, with the number of its documents, so a very
+frequent line weighs no more than others; references are counted by aggregation
+before they are shuffled.
 
 Edge cases: a null or empty text is one empty line; rows that share a doc_id are
 one document for the counts, and each loses the same lines; rows without a
@@ -20,6 +23,7 @@ other columns do not matter.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,11 @@ from kinfold.llm.arrow import bounded_batches, map_batches, texts
 from kinfold.operators.storage import written
 
 SPACES = " \t\n\x0b\x0c\r"
-#: References that a shard is laid out for, and least number of shards.
-SHARD_REFS, LEAST_SHARDS = 65536, 256
-#: A key with more references than one in HEAVY_SHARE, and at least this many, is heavy.
-HEAVY_SHARE, HEAVY_LEAST = 512, 4096
-STATE = "shard int, filter binary, h1 binary, h2 binary, doc binary"
+#: Keys that a shard is laid out for, and least number of shards.
+SHARD_KEYS, LEAST_SHARDS = 65536, 16
+#: Batches that the documents of one table are inserted in.
+BATCHES = 3
+KEYS = ["h1", "h2"]
 
 
 def line_key(line: str, least: int) -> bytes | None:
@@ -47,15 +51,26 @@ def line_key(line: str, least: int) -> bytes | None:
 
 
 class CuckooFilter:
-    """Two buckets of four 16-bit marks for each key; grows when it is full."""
+    """Two buckets of four 16-bit marks for each key. One that a key found no room in
+    is full: it has no table any more and may hold every key."""
 
-    SLOTS, KICKS = 4, 200
+    SLOTS, KICKS = 4, 500
 
-    def __init__(self, capacity: int = 64, table: np.ndarray | None = None) -> None:
-        buckets = 1 << max(4, int(capacity / self.SLOTS / 0.85)).bit_length()
-        self.table = table if table is not None else np.zeros((buckets, self.SLOTS), dtype=np.uint16)
+    def __init__(self, capacity: int = 64, state: bytes | None = None) -> None:
+        if state is None:
+            self.table = np.zeros((1 << max(4, int(capacity / self.SLOTS / 0.85)).bit_length(), self.SLOTS), dtype=np.uint16)
+        else:
+            self.table = np.frombuffer(state, dtype=np.uint16).reshape(-1, self.SLOTS).copy()
         self.random = np.random.default_rng(7)
 
+    @property
+    def full(self) -> bool:
+        return not len(self.table)
+
+    def state(self) -> bytes:
+        """The table, as the constructor takes it."""
+        return self.table.tobytes()
+
     def _places(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mask = np.uint64(len(self.table) - 1)
         mark = (h2.view(np.uint64) >> np.uint64(48)).astype(np.uint16)
@@ -68,11 +83,15 @@ class CuckooFilter:
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Which keys may be held; False is certain."""
+        if self.full:
+            return np.ones(len(h1), dtype=bool)
         mark, one, two = self._places(h1, h2)
         return (self.table[one] == mark[:, None]).any(1) | (self.table[two] == mark[:, None]).any(1)
 
-    def insert(self, h1: np.ndarray, h2: np.ndarray) -> bool:
-        """Add one entry for each key; False if there is no room."""
+    def insert(self, h1: np.ndarray, h2: np.ndarray) -> None:
+        """Add one entry for each key."""
+        if self.full:
+            return
         mark, one, two = self._places(h1, h2)
         left = np.arange(len(mark))
         for side in (one, two):  # first all that fit without moving others
@@ -87,7 +106,8 @@ class CuckooFilter:
                 chosen = left[first[fits]]
                 self.table[side[chosen], free[fits].argmax(1)] = mark[chosen]
                 left = np.setdiff1d(left, chosen, assume_unique=True)
-        return all(self._kick(int(two[i]), int(mark[i])) for i in left)
+        if not all(self._kick(int(two[i]), int(mark[i])) for i in left):
+            self.table = self.table[:0]
 
     def _kick(self, bucket: int, mark: int) -> bool:
         for _ in range(self.KICKS):
@@ -102,6 +122,8 @@ class CuckooFilter:
 
     def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
         """Remove one entry for each key, all of which must be held."""
+        if self.full:
+            return
         for mark, *places in zip(*self._places(h1, h2), strict=True):
             for bucket in places:
                 slot = np.flatnonzero(self.table[bucket] == mark)
@@ -110,69 +132,6 @@ class CuckooFilter:
                     break
 
 
-class ShardIndex:
-    """One shard: a cuckoo filter backed by the exact references."""
-
-    def __init__(self, state: dict | None = None) -> None:
-        empty = np.empty(0, dtype=np.int64)
-        self.h1, self.h2, self.doc = (np.frombuffer(state[c], dtype=np.int64) for c in ("h1", "h2", "doc")) if state else (empty, empty, empty)
-        self.filter = CuckooFilter(table=np.frombuffer(state["filter"], dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS).copy()) if state else CuckooFilter()
-
-    def state(self) -> dict:
-        """The shard as binary columns."""
-        return {"filter": self.filter.table.tobytes(), "h1": self.h1.tobytes(), "h2": self.h2.tobytes(), "doc": self.doc.tobytes()}
-
-    def _heads(self) -> np.ndarray:
-        """Where each key begins in the references, which are in key order."""
-        return np.flatnonzero(np.concatenate([[True], (self.h1[1:] != self.h1[:-1]) | (self.h2[1:] != self.h2[:-1])])) if len(self.h1) else np.empty(0, dtype=int)
-
-    def _keep(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> None:
-        order = np.lexsort((doc, h2, h1))
-        h1, h2, doc = h1[order], h2[order], doc[order]
-        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1])]) if len(h1) else np.empty(0, dtype=bool)
-        self.h1, self.h2, self.doc = h1[new], h2[new], doc[new]
-
-    def insert(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> None:
-        """Add references; a reference that is already held changes nothing."""
-        keys = np.unique(np.stack([h1, h2], 1), axis=0)
-        maybe = self.filter.contains(keys[:, 0].copy(), keys[:, 1].copy())
-        if maybe.any():  # only what the filter admits is looked up
-            heads = self._heads()
-            held = set(zip(self.h1[heads].tolist(), self.h2[heads].tolist(), strict=True))
-            maybe[maybe] = [(a, b) in held for a, b in keys[maybe].tolist()]
-        fresh = keys[~maybe]
-        self._keep(np.concatenate([self.h1, h1]), np.concatenate([self.h2, h2]), np.concatenate([self.doc, doc]))
-        count = len(self._heads())
-        room = self.filter.table.size * 0.85
-        if count > room or not self.filter.insert(fresh[:, 0].copy(), fresh[:, 1].copy()):
-            self._rebuild(2 * count)
-
-    def _rebuild(self, capacity: int) -> None:
-        heads = self._heads()
-        while True:
-            self.filter = CuckooFilter(capacity)
-            if self.filter.insert(self.h1[heads], self.h2[heads]):
-                return
-            capacity *= 2
-
-    def delete(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> None:
-        """Take references back; a key without any leaves the filter."""
-        before = {*zip(self.h1.tolist(), self.h2.tolist(), strict=True)}
-        gone = set(zip(h1.tolist(), h2.tolist(), doc.tolist(), strict=True))
-        stays = np.array([r not in gone for r in zip(self.h1.tolist(), self.h2.tolist(), self.doc.tolist(), strict=True)], dtype=bool)
-        self._keep(self.h1[stays], self.h2[stays], self.doc[stays])
-        lost = np.array(sorted(before - {*zip(self.h1.tolist(), self.h2.tolist(), strict=True)}), dtype=np.int64).reshape(-1, 2)
-        self.filter.delete(lost[:, 0].copy(), lost[:, 1].copy())
-
-    def repeated(self, least: int) -> np.ndarray:
-        """Positions of the references whose document loses the key's lines."""
-        heads = self._heads()
-        counts = np.diff(np.concatenate([heads, [len(self.h1)]]))
-        often = np.repeat(counts >= least, counts)
-        often[heads + counts - 1] = False  # the largest document keeps its lines
-        return np.flatnonzero(often)
-
-
 def references(df: DataFrame, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h1, h2, doc_id): the keys of each document, once each."""
 
@@ -189,85 +148,101 @@ def references(df: DataFrame, least: int = 20, id_col: str = "doc_id", text_col:
     return map_batches(texts(df, id_col, text_col).where("doc_id is not null"), make, "h1 long, h2 long, doc_id long")
 
 
-def _dealt(refs: DataFrame, shards: int) -> DataFrame:
-    return refs.withColumn("shard", F.pmod(F.shiftright("h1", 20), F.lit(shards)).cast("int"))
-
-
-def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(table.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
+def _shard(shards: int) -> F.Column:
+    return F.pmod(F.shiftright("h1", 20), F.lit(shards)).cast("int").alias("shard")
 
 
+@dataclass(frozen=True)
 class LineIndex:
-    """The shards of a growing corpus as a table; insertions and deletions."""
-
-    def __init__(self, state: DataFrame, shards: int) -> None:
-        self.state, self.shards = state, shards
-
-    @classmethod
-    def empty(cls, spark, shards: int = 64) -> LineIndex:
-        """An index without references."""
-        return cls(spark.createDataFrame([], STATE), shards)
+    """The references of a growing corpus and the filters over their keys.
 
-    def _changed(self, refs: DataFrame, how: str) -> LineIndex:
-        def change(old: pa.Table, new: pa.Table) -> pa.Table:
-            shard = (old if old.num_rows else new).column("shard")[0].as_py()
-            index = ShardIndex(old.to_pylist()[0] if old.num_rows else None)
-            if new.num_rows:
-                getattr(index, how)(*_arrays(new))
-            return pa.Table.from_pylist([{"shard": shard} | index.state()], schema=pa.schema([("shard", pa.int32())] + [(c, pa.binary()) for c in ("filter", "h1", "h2", "doc")]))
+    ``refs`` (h1, h2, doc_id), ``admitted`` (h1, h2: keys that have had several
+    references) and ``filters`` (shard, filter) are stored tables; each change gives
+    a new index. ``keys`` bounds the number of keys that the filters hold.
+    """
 
-        joined = self.state.groupBy("shard").cogroup(_dealt(refs, self.shards).groupBy("shard")).applyInArrow(change, STATE)
-        return LineIndex(written(joined, "line-index"), self.shards)
+    refs: DataFrame
+    admitted: DataFrame
+    filters: DataFrame
+    shards: int
+    keys: int = 0
+    make: type = CuckooFilter
 
-    def insert(self, refs: DataFrame) -> LineIndex:
-        """The index with more references."""
-        return self._changed(refs, "insert")
+    @classmethod
+    def empty(cls, spark, expected: int = 0, make: type = CuckooFilter) -> LineIndex:
+        """An index without references, laid out for so many keys."""
+        none = lambda schema: spark.createDataFrame([], schema)
+        return cls(none("h1 long, h2 long, doc_id long"), none("h1 long, h2 long"), none("shard int, filter binary"), max(LEAST_SHARDS, -(-expected // SHARD_KEYS)), make=make)
+
+    def insert(self, refs: DataFrame, new_documents: bool = False) -> LineIndex:
+        """The index with more references; those it holds already change nothing.
+        With ``new_documents`` none of them is of a document that it holds."""
+        refs = written(refs.select(*KEYS, "doc_id").distinct(), "line-refs")
+        own = written(refs.groupBy(*KEYS).agg(F.count("*").alias("n")), "line-keys")
+        index = self if self.keys + (more := own.count()) <= self.shards * SHARD_KEYS else self._laid_out(self.keys + more)
+        # only what the filters admit is looked up; what proves new there gets an entry of its own
+        held = written(index._known(own).join(index.refs, KEYS, "left_semi"), "line-known")
+        filters = index._changed(own.join(held, KEYS, "left_anti"), "insert")
+        admitted = written(index.admitted.unionByName(held).unionByName(own.where("n > 1").select(*KEYS)).distinct(), "line-admitted")
+        if not new_documents:
+            seen = refs.join(held, KEYS, "left_semi").join(index.refs, [*KEYS, "doc_id"], "left_semi")
+            refs = written(refs.join(seen, [*KEYS, "doc_id"], "left_anti"), "line-refs")
+        return replace(index, refs=index.refs.unionByName(refs), admitted=admitted, filters=filters, keys=index.keys + more)
 
     def delete(self, refs: DataFrame) -> LineIndex:
         """The index without these references."""
-        return self._changed(refs, "delete")
+        refs = refs.select(*KEYS, "doc_id").distinct()
+        gone = self.refs.join(refs, [*KEYS, "doc_id"], "left_semi")
+        left = written(self.refs.join(refs, [*KEYS, "doc_id"], "left_anti"), "line-refs")
+        lost = gone.select(*KEYS).distinct().join(left, KEYS, "left_anti")
+        return replace(self, refs=left, filters=self._changed(lost, "delete"))
 
-    def drops(self, least: int = 3) -> DataFrame:
-        """(h1, h2, doc_id) of the lines to drop at present."""
+    def _laid_out(self, keys: int) -> LineIndex:
+        """The same references with filters for twice so many keys."""
+        index = replace(self, filters=self.filters.limit(0), shards=max(LEAST_SHARDS, -(-2 * keys // SHARD_KEYS)))
+        return replace(index, filters=index._changed(self.refs.select(*KEYS).distinct(), "insert"))
 
-        def tell(batch):
-            for row in batch.to_pylist():
-                index = ShardIndex(row)
-                at = index.repeated(least)
-                yield {"h1": pa.array(index.h1[at]), "h2": pa.array(index.h2[at]), "doc_id": pa.array(index.doc[at])}
+    def _with_filters(self, keys: DataFrame, function, schema: str) -> DataFrame:
+        """Each shard's filter (a row, or none) and its distinct keys in one call."""
+        return self.filters.groupBy("shard").cogroup(keys.select(*KEYS, _shard(self.shards)).groupBy("shard")).applyInArrow(function, schema)
 
-        return map_batches(self.state, tell, "h1 long, h2 long, doc_id long")
+    def _known(self, keys: DataFrame) -> DataFrame:
+        """Those of distinct keys that the filters may hold."""
+        make = self.make
 
+        def ask(old: pa.Table, new: pa.Table) -> pa.Table:
+            own = new.select(KEYS)
+            if not old.num_rows:
+                return own.slice(0, 0)
+            return own.filter(pa.array(make(state=old.column("filter")[0].as_py()).contains(*(own.column(c).to_numpy() for c in KEYS))))
 
-def _heavy(refs: DataFrame, total: int, least: int) -> dict[bytes, int]:
-    """Heavy keys with the document that keeps them; fewer than HEAVY_SHARE."""
-    bound = max(HEAVY_LEAST, total // HEAVY_SHARE)
-    often = refs.groupBy("h1", "h2").count().where(F.col("count") > bound).select("h1", "h2").limit(HEAVY_SHARE)
-    keys = [(r.h1, r.h2) for r in often.collect()]
-    if not keys:
-        return {}
-    few = F.broadcast(refs.sparkSession.createDataFrame(keys, "h1 long, h2 long"))
-    held = refs.join(few, ["h1", "h2"]).distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-    return {np.array([r.h1, r.h2], dtype="<i8").tobytes(): r.top if r.n >= least else None for r in held.collect()}
+        return self._with_filters(keys, ask, "h1 long, h2 long")
 
+    def _changed(self, keys: DataFrame, how: str) -> DataFrame:
+        """The filters after distinct keys went in or out."""
+        make, room = self.make, int(1.5 * SHARD_KEYS)
 
-def dropped_keys(refs: DataFrame, least: int = 3) -> tuple[DataFrame, dict[bytes, int]]:
-    """What to drop: a table (h1, h2, doc_id), and the heavy keys with the
-    document that keeps them (None: all keep them)."""
-    total = refs.count()
-    heavy = _heavy(refs, total, least)
-    if heavy:
-        pairs = [tuple(np.frombuffer(k, dtype="<i8").tolist()) for k in heavy]
-        refs = refs.join(F.broadcast(refs.sparkSession.createDataFrame(pairs, "h1 long, h2 long")), ["h1", "h2"], "left_anti")
+        def change(old: pa.Table, new: pa.Table) -> pa.Table:
+            own = make(state=old.column("filter")[0].as_py()) if old.num_rows else make(room)
+            getattr(own, how)(*(new.column(c).to_numpy() for c in KEYS))
+            return pa.table({"shard": (old if old.num_rows else new).column("shard")[:1], "filter": pa.array([own.state()], pa.binary())})
+
+        return written(self._with_filters(keys, change, "shard int, filter binary"), "line-filters")
+
+    def drops(self, least: int = 3) -> DataFrame:
+        """(h1, h2, doc_id) of the lines to drop at present."""
+        held = self.refs.join(self.admitted, KEYS, "left_semi")
+        often = written(held.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= least), "line-counts")
+        return held.join(often, KEYS).where("doc_id <> top").select(*KEYS, "doc_id")
 
-    def sweep(group: pa.Table) -> pa.Table:
-        index = ShardIndex()
-        index.insert(*_arrays(group))
-        at = index.repeated(least)
-        return pa.table({"h1": index.h1[at], "h2": index.h2[at], "doc_id": index.doc[at]})
 
-    shards = max(LEAST_SHARDS, -(-total // SHARD_REFS))
-    return _dealt(refs, shards).groupBy("shard").applyInArrow(sweep, "h1 long, h2 long, doc_id long"), heavy
+def dropped_keys(refs: DataFrame, least: int = 3, make: type = CuckooFilter) -> DataFrame:
+    """(h1, h2, doc_id) to drop: the documents of ``refs``, a stored table, go into an
+    index batch by batch."""
+    index = LineIndex.empty(refs.sparkSession, refs.count(), make)
+    for k in range(BATCHES):
+        index = index.insert(refs.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == k), new_documents=True)
+    return index.drops(least)
 
 
 def dedup_lines(df: DataFrame, least_chars: int = 20, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -276,7 +251,7 @@ def dedup_lines(df: DataFrame, least_chars: int = 20, least_docs: int = 3, id_co
     Keys of at least ``least_chars`` code points in at least ``least_docs``
     documents lose all their lines except in the largest doc_id that has them.
     """
-    drops, heavy = dropped_keys(written(references(df, least_chars, id_col, text_col), "line-refs"), least_docs)
+    drops = dropped_keys(written(references(df, least_chars, id_col, text_col), "line-refs"), least_docs)
     own = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     docs = bounded_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     joined = docs.join(own.hint("shuffle_hash"), "doc_id", "left")
@@ -292,10 +267,7 @@ def dedup_lines(df: DataFrame, least_chars: int = 20, least_docs: int = 3, id_co
             gone = {k.tobytes() for k in keys[at : at + n]}
             at += n
             lines = text.split("\n")
-            if i is not None and (gone or heavy):
-                kept = [x for x in lines if not ((k := line_key(x, least_chars)) and (k in gone or heavy.get(k, i) not in (i, None)))]
-            else:
-                kept = lines
+            kept = [x for x in lines if line_key(x, least_chars) not in gone] if gone else lines
             out["n_lines"].append(len(lines))
             out["n_dropped"].append(len(lines) - len(kept))
             out["text"].append("\n".join(kept))
