@@ -182,7 +182,7 @@ def pack(df: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, grou
         for lo in range(0, len(out["doc_id"]), step):
             yield {c: v[lo : lo + step] for c, v in out.items()}
 
-    dealt = texts(df, id_col, text_col).withColumn("seed", F.xxhash64("doc_id", "text"))
+    dealt = texts(df, id_col, text_col).withColumn("seed", F.xxhash64("doc_id", F.monotonically_increasing_id()))
     pieces = map_batches(dealt, encode, "doc_id long, grp long, start long, length long, ids_crc32 long, doc_tokens long, data binary")
     schema = SCHEMA + ", ids array<int>" * ids
 
