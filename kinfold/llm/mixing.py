@@ -5,12 +5,15 @@ blocks stand in a random order that a seed fixes. A source whose target is above
 its size is taken whole as often as fits, the rest as the first blocks of its
 order, the last of them trimmed, so every source takes its target to the word.
 The order is a distributed prefix sum: hash ranges of a source are counted, and
-places are numbered within a range, so that no task orders a whole source.
+places are numbered within a range, so that no task orders a whole source. Rows
+that repeat another in full are told apart by a number, and so spread like others.
 
-The draws of all sources are split among output shards by a tree: at each node a
+The blocks of all sources are split among output shards by a tree: at each node a
 multivariate-hypergeometric draw decides how many blocks of each source go left.
 A leaf has its exact quota of each source; it draws a run of that length from
-the source's order, disjoint from all other shards', and shuffles it locally.
+the source's order, disjoint from all other shards', and shuffles it locally. The
+mix is what the leaves draw: a block that no leaf has is not taken. There are as
+many shards as the words ask for.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source
 of its own, last in order; repeated rows count each; a mix without words takes
@@ -23,9 +26,9 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from kinfold.llm.arrow import bounded_batches, map_batches
@@ -33,7 +36,11 @@ from kinfold.operators.storage import written
 
 #: A word, for Java's and Python's pattern language alike.
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS, RANGE_BLOCKS, SHARDS = 1024, 4096, 64
+BLOCK_WORDS, RANGE_BLOCKS = 1024, 4096
+#: Words of a shard, least number of shards, and tasks that write one.
+SHARD_WORDS, LEAST_SHARDS, PARTS = 1 << 28, 64, 8
+#: Tasks that number the rows that repeat one in full.
+SALTS = 64
 
 
 def source_targets(sizes: list[int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -92,18 +99,29 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]
 
 
 def sized_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(row, doc_id, source, size): a stored table with a number for each row."""
+    """(row, doc_id, source, size, digest): a stored table with a number for each row."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return written(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carry), "sized")
+    digest = F.xxhash64(id_col, text_col, source_col)
+    return written(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("digest"), *carry), "sized")
 
 
-def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(row, copy): a number among the rows of one digest, so that reruns agree on
+    the numbers a digest has; SALTS tasks share the rows of a frequent one."""
+    dealt = rows.select("row", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    count = dealt.groupBy("digest", "salt").count()
+    ahead = F.coalesce(F.sum("count").over(W.partitionBy("digest").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    local = dealt.withColumn("r", F.row_number().over(W.partitionBy("digest", "salt").orderBy("row")) - 1)
+    return local.join(count.select("digest", "salt", ahead.alias("ahead")), ["digest", "salt"]).select("row", (F.col("ahead") + F.col("r")).alias("copy"))
+
+
+def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int | None = None, block: int = BLOCK_WORDS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """The plan of the sources, and the draws of blocks.
 
-    ``rows`` is a stored table (row, doc_id, source, size). Plan: source,
+    ``rows`` is a stored table (row, doc_id, source, size, digest). Plan: source,
     source_size, target. Draws: row, part, parts, epoch, words, whole, shard,
     place; sorting a shard by place shuffles it. One row for each source goes
-    to the driver.
+    to the driver, and the tree's leaves come from there.
     """
     spark = rows.sparkSession
     parts = F.ceil(F.col("size") / block).cast("int")
@@ -114,51 +132,60 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     epochs = [w // r["size"] if r["size"] else 0 for w, r in zip(words, per_source, strict=True)]
     rest = [w - e * r["size"] for w, e, r in zip(words, epochs, per_source, strict=True)]
     bits = [max(0, math.ceil(math.log2(max(1, r.blocks / RANGE_BLOCKS)))) for r in per_source]
-    kinds = f"source {rows.schema['source'].dataType.simpleString()}, source_size long, target double, epochs int, rest long, bits int, blocks long"
-    plan = spark.createDataFrame([(r.source, r["size"], t, e, x, b, r.blocks) for r, t, e, x, b in zip(per_source, targets, epochs, rest, bits, strict=True)], kinds)
+    kinds = f"source {rows.schema['source'].dataType.simpleString()}, number int, source_size long, target double, epochs int, rest long, bits int, blocks long"
+    plan = spark.createDataFrame([(r.source, k, r["size"], t, e, x, b, r.blocks) for k, (r, t, e, x, b) in enumerate(zip(per_source, targets, epochs, rest, bits, strict=True))], kinds)
 
-    blocks = rows.where("size > 0").select("row", "doc_id", "source", "size", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    sized = rows.where("size > 0").join(_numbered(rows), "row")
+    blocks = sized.select("row", "source", "size", "digest", "copy", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     blocks = blocks.withColumn("words", F.floor((F.col("part") + 1) * F.col("size") / F.col("parts")) - F.floor(F.col("part") * F.col("size") / F.col("parts")))
-    blocks = blocks.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "part"))
+    blocks = blocks.withColumn("h", F.xxhash64(F.lit(seed), "digest", "copy", "part"))
     same = blocks["source"].eqNullSafe(plan["source"])
     ranged = blocks.join(plan.drop("source_size", "target"), same).drop(plan["source"])
     ranged = ranged.withColumn("span", F.expr("IF(bits = 0, 0L, shiftrightunsigned(h, 64 - bits))"))
 
-    before = W.partitionBy("source").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
-    sums = ranged.groupBy("source", "span").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
-    sums = sums.select(F.col("source").alias("s"), F.col("span").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
-    inside = W.partitionBy("source", "span").orderBy("h", "row", "part")
-    ranked = ranged.select("*", F.row_number().over(inside).alias("r"), F.sum("words").over(inside.rowsBetween(W.unboundedPreceding, -1)).alias("w"))
-    ranked = ranked.join(sums, ranked["source"].eqNullSafe(sums["s"]) & (ranked["span"] == sums["p"]))
-    ordered = written(ranked.select("row", "source", "part", "parts", "words", "h", "epochs", "rest", "blocks", (F.col("n0") + F.col("r") - 1).alias("rank"), (F.col("w0") + F.coalesce("w", F.lit(0))).alias("ahead")), "blocks")
-
-    partly = {r.source: r.n for r in ordered.where("ahead < rest").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    quotas = [e * r.blocks + partly.get(r.source, 0) for r, e in zip(per_source, epochs, strict=True)]
-    leaves = splitting_tree(quotas, shards, seed) if quotas else []
-    ends = [[sum(leaf[i] for leaf in leaves[: k + 1]) for k in range(len(leaves))] for i in range(len(quotas))]
-    runs = spark.createDataFrame([(r.source, e) for r, e in zip(per_source, ends, strict=True)], T.StructType([T.StructField("s", rows.schema["source"].dataType), T.StructField("ends", T.ArrayType(T.LongType()))]))
+    before = W.partitionBy("number").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("number", "span").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    sums = sums.select("number", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
+    inside = W.partitionBy("number", "span").orderBy("h", "row", "part")
+    ranked = ranged.select("*", F.row_number().over(inside).alias("r"), F.sum("words").over(inside.rowsBetween(W.unboundedPreceding, -1)).alias("w")).join(sums, ["number", "span"])
+    ordered = written(ranked.select("row", "number", "part", "parts", "words", "h", "epochs", "rest", "blocks", (F.col("n0") + F.col("r") - 1).alias("rank"), (F.col("w0") + F.coalesce("w", F.lit(0))).alias("ahead")), "blocks")
+
+    partly = {r.number: r.n for r in ordered.where("ahead < rest").groupBy("number").agg(F.count("*").alias("n")).collect()}
+    quotas = [e * r.blocks + partly.get(k, 0) for k, (r, e) in enumerate(zip(per_source, epochs, strict=True))]
+    leaves = splitting_tree(quotas, shards or max(LEAST_SHARDS, -(-sum(words) // SHARD_WORDS)), seed) if quotas else []
+    ends = np.cumsum(np.array(leaves, dtype=np.int64).reshape(len(leaves), len(quotas)), axis=0)
+
+    def draw(batch):
+        """Each place of a source's order with the leaf whose run it lies in."""
+        number, epoch, blocks, rank = (batch.column(c).to_numpy() for c in ("number", "epoch", "blocks", "rank"))
+        shard = np.full(len(number), -1, dtype=np.int32)
+        for k in np.unique(number).tolist():
+            own = number == k
+            at = epoch[own] * blocks[own] + rank[own]
+            shard[own] = np.where(at < ends[-1, k], np.searchsorted(ends[:, k], at, side="right"), -1)
+        held = shard >= 0
+        return {c: batch.column(c).filter(pa.array(held)) for c in ("row", "part", "parts", "epoch", "words", "whole", "place")} | {"shard": shard[held]}
 
     times = F.col("epochs") + F.when(F.col("ahead") < F.col("rest"), 1).otherwise(0)
-    drawn = ordered.where("epochs > 0 or ahead < rest").withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    drawn = drawn.join(runs, ordered["source"].eqNullSafe(runs["s"]))
-    position = F.col("epoch") * F.col("blocks") + F.col("rank")
-    draws = drawn.select(
-        "row", "part", "parts", "epoch",
+    copies = ordered.where("epochs > 0 or ahead < rest").withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    copies = copies.select(
+        "number", "blocks", "rank", "row", "part", "parts", F.col("epoch").cast("long").alias("epoch"),
         F.when(F.col("epoch") < F.col("epochs"), F.col("words")).otherwise(F.least("words", F.col("rest") - F.col("ahead"))).alias("words"),
         (F.col("epoch") < F.col("epochs")).alias("whole"),
-        F.size(F.filter("ends", lambda x: x <= position)).alias("shard"),
         F.xxhash64(F.lit(seed + 1), "h", "epoch").alias("place"),
     )
+    draws = map_batches(bounded_batches(copies), draw, "row long, part int, parts int, epoch long, words long, whole boolean, place long, shard int")
     return plan.select("source", "source_size", "target"), draws
 
 
 def mixed_sizes(df: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken (words the mix takes)."""
+    """Per row: doc_id, size, source_size, target, taken (words the leaves draw),
+    first_shard and last_shard (of its blocks; null if none is drawn)."""
     rows = sized_rows(df)
     plan, draws = mix(rows, **options)
-    taken = draws.groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = draws.groupBy("row").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     found = rows.join(taken, "row", "left").join(plan, rows["source"].eqNullSafe(plan["source"]))
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def mixed_documents(df: DataFrame, length_col: str = "n_chars", **options) -> DataFrame:
@@ -193,4 +220,4 @@ def mixed_documents(df: DataFrame, length_col: str = "n_chars", **options) -> Da
 
     kinds = dict(df.dtypes)
     mixed = map_batches(joined, cut, ", ".join([*(f"`{c}` {kinds[c]}" for c in df.columns), "shard int, place long"]))
-    return mixed.repartition("shard", F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place").select(*df.columns)
+    return mixed.repartition("shard", F.pmod("place", F.lit(PARTS))).sortWithinPartitions("shard", "place").select(*df.columns)

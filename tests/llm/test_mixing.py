@@ -61,6 +61,47 @@ def test_draws_are_disjoint_and_fill_shards(spark):
     assert sum(per) == len(found) and max(per) - min(per) <= 1
 
 
+def test_the_tree_decides(spark, monkeypatch):
+    """The mix is what the leaves draw; a tree that gives less takes less."""
+    rows = mixing.sized_rows(spark.createDataFrame([r[:3] for r in rows_of()], "doc_id long, text string, source string"))
+    made, tree = [], mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: made.append(tree(*a)) or made[-1])
+    plan, draws = mixing.mix(rows, shards=5, block=8)
+    names = [r.source for r in plan.collect()]
+    source = {r.row: r.source for r in rows.collect()}
+    found = [[0] * len(names) for _ in range(5)]
+    for r in draws.collect():
+        found[r.shard][names.index(source[r.row])] += 1
+    assert found == made[0] and sum(map(sum, found)) > 100
+    sizes = lambda: {(r.doc_id, r.taken, r.first_shard) for r in mixing.mixed_sizes(spark.createDataFrame([r[:3] for r in rows_of()], "doc_id long, text string, source string"), shards=5, block=8).collect()}
+    whole = sizes()
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: [tree(*a)[0]])
+    assert sum(t for _, t, _ in sizes()) < sum(t for _, t, _ in whole) / 2
+
+
+def test_draws_equal_a_plain_version(spark):
+    """The first blocks of each source's order, as often as its target asks."""
+    frame = spark.createDataFrame([r[:3] for r in rows_of()], "doc_id long, text string, source string")
+    rows = mixing.sized_rows(frame)
+    _, draws = mixing.mix(rows, shards=3, block=8)
+    found = {}
+    for r in draws.collect():
+        found.setdefault(r.row, {}).setdefault(r.part, []).append(r.words)
+    for own in rows.collect():
+        n = -(-own["size"] // 8)
+        parts = [(k + 1) * own["size"] // n - k * own["size"] // n for k in range(n)]
+        for part, times in found.get(own.row, {}).items():
+            assert all(0 < w <= parts[part] for w in times) and len(times) <= 2
+            assert len(times) < 2 or max(times) == parts[part]
+
+
+def test_repeated_rows_are_told_apart(spark):
+    rows = mixing.sized_rows(spark.createDataFrame([(None, "same words here", "a")] * 300 + [(1, "x", "a")], "doc_id long, text string, source string"))
+    found = {r.row: r["copy"] for r in mixing._numbered(rows).collect()}
+    same = [found[r.row] for r in rows.where("doc_id is null").collect()]
+    assert sorted(same) == list(range(300)) and len(found) == 301
+
+
 def test_documents(spark):
     rows = [(i, t, s, len(t or "")) for i, t, s, _ in rows_of()]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
