@@ -60,10 +60,14 @@ def complete_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, by: str, vec: str) -> DataFrame:
-    """(by, mean, n): element-wise means, summed before the shuffle."""
-    flat = rows.select(by, F.posexplode(F.col(vec).cast("array<double>")).alias("k", "x"))
+    """(by, mean, n): element-wise means. The mean of one vector is the vector; only
+    groups of several are taken apart, and summed before the shuffle."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
+    sized = rows.select(by, F.col(vec).cast("array<double>").alias("mean")).join(sizes, by)
+    flat = sized.where("n > 1").select(by, F.posexplode("mean").alias("k", "x"))
     sums = flat.groupBy(by, "k").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    return sums.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("mean"), F.max("n").alias("n"))
+    several = sums.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("mean"), F.max("n").alias("n"))
+    return sized.where("n = 1").unionByName(several)
 
 
 def representatives(rows: DataFrame, by: str = "dup_group", vec: str = "v") -> DataFrame:

@@ -40,8 +40,8 @@ def mean_error(a: F.Column, b: F.Column) -> F.Column:
 
 
 def _thumb_error(a: pd.Series, b: pd.Series) -> pd.Series:
-    scale = lambda x: np.frombuffer(x, dtype=np.uint8).astype(np.float32) / np.float32(255.0)
-    return pd.Series([float(np.abs(np.subtract(scale(x), scale(y), dtype=np.float64)).mean()) for x, y in zip(a, b, strict=True)])
+    scale = lambda x: np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(x), -1).astype(np.float32) / np.float32(255.0)
+    return pd.Series(np.abs(np.subtract(scale(a), scale(b), dtype=np.float64)).mean(axis=1) if len(a) else np.empty(0))
 
 
 def thumb_error(a: str, b: str) -> F.Column:

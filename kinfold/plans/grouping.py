@@ -19,7 +19,7 @@ from kinfold.operators.storage import written
 from kinfold.options import GroupingOptions, UsageError
 from kinfold.sources import decode as decoding
 from kinfold.sources.discover import discover
-from kinfold.sources.sink import PlanRow, check_paths, preflight, write_outputs
+from kinfold.sources.sink import PlanRow, settled, preflight, write_outputs
 
 PREPARED = "rel_path string, ok boolean, reason string, crop binary, histogram array<float>, dhash long, aspect_ratio double, thumb binary"
 
@@ -101,7 +101,7 @@ def run(spark: SparkSession, source: Path, destination: Path, options: GroupingO
     emptiness, model, inference, grouping, names, preflight, writing.
     """
     options = options or GroupingOptions()
-    paths = check_paths(source, destination, manifest)
+    paths = settled(source, destination, manifest)
     stage("Decoding and Normalizing Images:")
     files, skipped = discover(spark, paths.source, options.recursive)
     n = files.count()

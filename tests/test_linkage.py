@@ -92,10 +92,10 @@ def test_blocks_give_all_pairs(spark):
 
 
 def test_bounds_and_zero_means(spark):
-    assert naming.checked_name(9999, 1) == "9999-00000001.png"
+    assert naming.name_of(9999, 1) == "9999-00000001.png"
     for bad in ((10000, 1), (1, 0), (True, 1)):
         with pytest.raises(GroupingError):
-            naming.checked_name(*bad)
+            naming.name_of(*bad)
     rows = spark.createDataFrame([("a", "g", [1.0, 0.0]), ("b", "g", [-1.0, 0.0])], "rel_path string, dup_group string, v array<double>")
     with pytest.raises(GroupingError):
         linkage.representatives(rows)

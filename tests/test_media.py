@@ -139,20 +139,19 @@ def test_run_and_command_line(spark, tmp_path, capsys):
         grouping.run(spark, src, tmp_path / "out4", GroupingOptions(max_files=2))
 
 
-class Row:
-    def __init__(self, n, name="p.png"):
-        self.cluster, self.index, self.output_name, self.rel_path, self.distance_to_centroid = 1, n, f"0001-{n:08d}.png", name, 0.1
+def Row(n, name="p.png"):
+    return sink.PlanRow(name, 1, n, f"0001-{n:08d}.png", 0.1)
 
 
 def test_sink_guards_and_rollback(tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    paths = sink.check_paths(src, tmp_path / "out")
+    paths = sink.settled(src, tmp_path / "out")
     for bad in (src / "deep", src):
         with pytest.raises(UsageError):
-            sink.check_paths(src, bad)
+            sink.settled(src, bad)
     with pytest.raises(UsageError):
-        sink.check_paths(src, tmp_path / "out", tmp_path)
+        sink.settled(src, tmp_path / "out", tmp_path)
     with pytest.raises(UsageError, match="repeated"):
         sink.preflight(paths, [Row(1), Row(1)])
 
@@ -166,7 +165,7 @@ def test_sink_guards_and_rollback(tmp_path):
     assert sorted(p.name for p in paths.destination.iterdir()) == ["0001-00000001.png", "0001-00000002.png", "manifest.csv"]
     assert paths.manifest.read_text().splitlines()[1:] == ["1,1,0001-00000001.png,p.png,0.10000000000000001,", "1,2,0001-00000002.png,p.png,0.10000000000000001,"]
     with pytest.raises(UsageError):
-        sink.check_paths(src, tmp_path / "out")
+        sink.settled(src, tmp_path / "out")
 
 
 def test_decimal_and_options():
