@@ -1,13 +1,16 @@
-"""Difference hashes and Hamming bands as native column expressions."""
+"""Difference hashes and their blocks as native column expressions."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Start and width of five bands of a 64-bit hash: hashes that differ in at most
-#: four bits agree in one of them.
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Edges of six blocks of a 64-bit hash, and the choices of two of them: hashes that
+#: differ in at most four bits agree in two blocks.
+EDGES = tuple(64 * k // 6 for k in range(7))
+BLOCK_PAIRS = tuple(combinations(range(6), 2))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -15,10 +18,24 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def band(h: Column, number: int) -> Column:
-    """The bits of one band."""
-    start, width = BANDS[number]
-    return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << width) - 1))
+def block(h: Column, number: int) -> Column:
+    """The bits of one block."""
+    return F.shiftrightunsigned(h, EDGES[number]).bitwiseAND(F.lit((1 << EDGES[number + 1] - EDGES[number]) - 1))
+
+
+def block_pair(h: Column, a: int, b: int) -> Column:
+    """The bits of two blocks in one number."""
+    return F.shiftleft(block(h, a), EDGES[b + 1] - EDGES[b]).bitwiseOR(block(h, b))
+
+
+def first_agreement(a: Column, b: Column) -> Column:
+    """The number of the first of BLOCK_PAIRS in which two hashes agree."""
+    differ = a.bitwiseXOR(b)
+    found = F.lit(None).cast("int")
+    for number, (x, y) in reversed(list(enumerate(BLOCK_PAIRS))):
+        mask = sum((1 << EDGES[k + 1]) - (1 << EDGES[k]) for k in (x, y))
+        found = F.when(differ.bitwiseAND(F.lit(mask - (mask >> 63 << 64))) == 0, F.lit(number)).otherwise(found)
+    return found
 
 
 def grid_dhash(cells: Column, columns: int = 9, rows: int = 8) -> Column:

@@ -47,6 +47,15 @@ def greedy_complete_link(edges: list[tuple[str, str]]) -> dict[str, str]:
     return owner
 
 
+def require_partition(nodes: DataFrame, groups: DataFrame, key: str = "rel_path") -> None:
+    """Raise unless ``groups`` has every key of ``nodes`` exactly once and no other."""
+    held = groups.groupBy(key).agg(F.count("*").alias("held"))
+    odd = nodes.select(key).distinct().withColumn("asked", F.lit(1)).join(held, key, "full").where("asked is null or held is null or held <> 1")
+    first = odd.select(key, "asked", F.coalesce("held", F.lit(0)).alias("held")).limit(1).collect()
+    if first:
+        raise GroupingError(f"{first[0][0]} is in {first[0]['held']} groups" + ("" if first[0]["asked"] else " but not among the rows"))
+
+
 def complete_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(rel_path, dup_group): every node's group, named by its first member."""
 

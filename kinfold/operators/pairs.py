@@ -1,4 +1,4 @@
-"""Joins of a relation with itself: banded Hamming pairs, cosine blocks."""
+"""Joins of a relation with itself: Hamming pairs by block keys, cosine blocks."""
 
 import numpy as np
 import pandas as pd
@@ -7,25 +7,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.functions.hashes import BANDS, band, hamming
-from kinfold.options import MAX_ASPECT, MAX_HAMMING, MAX_THUMB_ERROR
+from kinfold.functions.hashes import BLOCK_PAIRS, block_pair, first_agreement, hamming
+from kinfold.functions.vectors import is_usable
+from kinfold.operators.storage import written
+from kinfold.options import MAX_ASPECT, MAX_HAMMING, MAX_THUMB_ERROR, GroupingError
 
 
 def hamming_pairs(rows: DataFrame, key: str, hash_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst, distance, src_*, dst_*) with src < dst at Hamming distance 4 or
-    less: an equi-join on five bands instead of a nested loop.
+    less: an equi-join on pairs of blocks instead of a nested loop.
 
-    A pair that agrees in several bands is kept at the first of them only, so no
-    distinct is needed. Equal hashes fall into one band value; adaptive execution
-    splits it where it is large.
+    Rows of one hash are one class, and only classes meet: of six blocks two hashes
+    so near agree in two at least, so 15 keys of 20 to 22 bits lose none. A pair that
+    agrees in several keys is kept at the first of them, so no distinct is needed.
+    The rows of two near classes are joined at the end: they are the result.
     """
-    side = lambda name: rows.select(F.col(key).alias(name), F.col(hash_col).alias(f"{name}_h"), *[F.col(c).alias(f"{name}_{c}") for c in carry], F.posexplode(F.array(*[band(F.col(hash_col), k) for k in range(len(BANDS))])).alias("band", "bits"))
-    pairs = side("src").join(side("dst"), ["band", "bits"]).where("src < dst")
-    near = hamming(F.col("src_h"), F.col("dst_h"))
-    earlier = F.lit(False)
-    for k in range(len(BANDS) - 1):
-        earlier = earlier | ((F.col("band") > k) & (band(F.col("src_h"), k) == band(F.col("dst_h"), k)))
-    return pairs.where((near <= MAX_HAMMING) & ~earlier).select("src", "dst", near.alias("distance"), *[f"{n}_{c}" for c in carry for n in ("src", "dst")])
+    stored = written(rows.select(F.col(key).alias("key"), F.col(hash_col).alias("hash"), *carry), "hashes")
+    keys = F.array(*[block_pair(F.col("hash"), a, b) for a, b in BLOCK_PAIRS])
+    side = lambda name: stored.select("hash").distinct().select(F.col("hash").alias(name), F.posexplode(keys).alias("number", "bits"))
+    near = side("one").join(side("two"), ["number", "bits"]).where((F.col("one") < F.col("two")) & (hamming(F.col("one"), F.col("two")) <= MAX_HAMMING) & (F.col("number") == first_agreement(F.col("one"), F.col("two"))))
+    near = near.select("one", "two").unionByName(stored.groupBy("hash").count().where("count > 1").select(F.col("hash").alias("one"), F.col("hash").alias("two")))
+    row = lambda name, end: stored.select(F.col("hash").alias(name), F.col("key").alias(f"{end}_key"), *[F.col(c).alias(f"{end}_{c}") for c in carry])
+    met = near.join(row("one", "a"), "one").join(row("two", "b"), "two").where((F.col("one") != F.col("two")) | (F.col("a_key") < F.col("b_key")))
+    first = F.col("a_key") < F.col("b_key")
+    pick = lambda c: (F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")))
+    src, dst = pick("key")
+    return met.select(src.alias("src"), dst.alias("dst"), hamming(F.col("one"), F.col("two")).alias("distance"), *[x.alias(f"{n}_{c}") for c in carry for n, x in zip(("src", "dst"), pick(c), strict=True)])
 
 
 def alike_aspect(a: F.Column, b: F.Column) -> F.Column:
@@ -49,6 +56,28 @@ def thumb_error(a: str, b: str) -> F.Column:
     return F.pandas_udf(_thumb_error, T.DoubleType())(a, b)
 
 
+#: Bytes of a thumbnail (fixed value).
+THUMB_BYTES = 64 * 64 * 3
+
+
+def require_features(features: DataFrame) -> None:
+    """Raise unless every row has a path of its own, a hash, a finite positive aspect
+    ratio, a whole thumbnail and a usable vector (where it has that column)."""
+    ratio = F.col("aspect_ratio")
+    rules = {
+        "hash": F.col("dhash").isNotNull(),
+        "aspect ratio": ~F.isnan(ratio) & (ratio > 0) & (ratio < F.lit(float("inf"))),
+        "thumbnail": F.octet_length("thumb") == THUMB_BYTES,
+    } | ({"vector": is_usable(F.col("v"))} if "v" in features.columns else {})
+    wrong = F.concat_ws(", ", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+    first = features.select("rel_path", wrong.alias("wrong")).where("wrong <> '' or rel_path is null").limit(1).collect()
+    if first:
+        raise GroupingError(f"{first[0].rel_path} has no usable {first[0].wrong or 'path'}")
+    twice = features.groupBy("rel_path").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise GroupingError(f"{twice[0].rel_path} stands in several rows")
+
+
 def duplicate_edges(features: DataFrame) -> DataFrame:
     """(src, dst): pairs alike in hash, aspect ratio and thumbnail, src < dst.
 

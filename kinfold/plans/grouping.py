@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import pixels
 from kinfold.functions.vectors import fused
-from kinfold.operators.embed import Embedder, OnnxEmbedder
-from kinfold.operators.linkage import average_link_clusters, complete_link, representatives
+from kinfold.operators.embed import Embedder, OnnxEmbedder, infer
+from kinfold.operators.linkage import average_link_clusters, complete_link, representatives, require_partition
 from kinfold.operators.naming import named_plan
-from kinfold.operators.pairs import duplicate_edges
-from kinfold.operators.storage import written
+from kinfold.operators.pairs import duplicate_edges, require_features
+from kinfold.operators.storage import scratch, written
 from kinfold.options import GroupingOptions, UsageError
 from kinfold.sources import decode as decoding
 from kinfold.sources.discover import discover
@@ -37,13 +41,16 @@ def _outcome(rel_path: str, load: Callable) -> dict:
         return {"rel_path": rel_path, "ok": False, "reason": f"unreadable image: {error}", "crop": None, "histogram": None, "dhash": None, "aspect_ratio": None, "thumb": None}
 
 
-def prepared(files: DataFrame) -> DataFrame:
-    """One decode of each file: features, or the reason why it is unreadable."""
+def prepared(files: DataFrame, attempts=None) -> DataFrame:
+    """One decode of each file: features, or the reason why it is unreadable.
+    ``attempts`` is an accumulator of the files tried."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 16):
                 part = pdf.iloc[lo : lo + 16]
+                if attempts is not None:
+                    attempts.add(len(part))
                 yield pd.DataFrame([_outcome(r, lambda a=a: decoding.decode(Path(a).read_bytes())) for r, a in zip(part.rel_path, part.abs_path, strict=True)])
 
     return files.select("rel_path", "abs_path").mapInPandas(run, PREPARED)
@@ -82,49 +89,118 @@ def _has_library() -> bool:
     return True
 
 
-def group_features(features: DataFrame, options: GroupingOptions) -> DataFrame:
+def extract(image, session, alpha: float = 0.80) -> dict:
+    """The features of one decoded image, in arrays and numbers, without Spark."""
+    found = prepare_image(image)
+    crop = np.frombuffer(found.pop("crop"), np.uint8).reshape(pixels.CROP, pixels.CROP, 3)
+    content, colour = infer(session, pixels.model_input(crop))[0], np.asarray(found["histogram"], dtype=np.float32)
+    weighed = np.concatenate([content * np.float32(math.sqrt(alpha)), colour * np.float32(math.sqrt(1.0 - alpha))])
+    return found | {"embedding": content, "histogram": colour, "v": pixels.unit(weighed)}
+
+
+def group_features(features: DataFrame, options: GroupingOptions, done: Callable[[str], None] = lambda step: None) -> DataFrame:
     """The named plan of rows with rel_path, v, dhash, aspect_ratio and thumb."""
+    require_features(features)
     groups = written(complete_link(features, duplicate_edges(features)), "duplicates")
+    require_partition(features, groups)
+    done("duplicates")
     rows = features.select("rel_path", "v").join(groups, "rel_path")
     reps = representatives(rows)
     if groups.select("dup_group").distinct().limit(2).count() == 1:
         clusters = reps.select("dup_group", F.col("dup_group").alias("cluster_key"))
     else:
-        clusters = average_link_clusters(written(reps, "representatives"), options.threshold)
+        clusters = written(average_link_clusters(written(reps, "representatives"), options.threshold), "clustered")
+    done("clusters")
     return named_plan(rows.join(clusters, "dup_group").select("rel_path", "v", "cluster_key"))
 
 
-def run(spark: SparkSession, source: Path, destination: Path, options: GroupingOptions | None = None, manifest: Path | None = None, embedder: Embedder | None = None, stage: Callable[[str], None] = lambda _: None, before_summary: Callable[[list], bool] | None = None) -> dict:
+#: Steps of the last stage, which have equal shares of its progress.
+STEPS = ("fusion", "duplicates", "clusters", "names", "preflight", "output")
+
+
+class Steps:
+    """Turns work within the steps of a stage into its progress."""
+
+    def __init__(self, report: Callable[[int, int], None]) -> None:
+        self.report = report
+
+    def done(self, step: str) -> None:
+        """A whole step."""
+        self.report(STEPS.index(step) + 1, len(STEPS))
+
+    def within(self, step: str) -> Callable[[int, int], None]:
+        """Counts of done and all work within a step."""
+        return lambda done, total: self.report(STEPS.index(step) * total + done, len(STEPS) * total) if total else None
+
+
+@contextmanager
+def watched(spark: SparkSession, report: Callable[[int, int], None], every: float = 0.5):
+    """Report the done and all tasks of the stages that run meanwhile."""
+    over = threading.Event()
+
+    def look() -> None:
+        tracker = spark.sparkContext.statusTracker()
+        while not over.wait(every):
+            found = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x is not None]
+            if found:
+                report(sum(x.numCompletedTasks for x in found), sum(x.numTasks for x in found))
+
+    thread = threading.Thread(target=look, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
+def run(spark: SparkSession, source: Path, destination: Path, options: GroupingOptions | None = None, manifest: Path | None = None, embedder: Embedder | None = None, stage: Callable[[str], None] = lambda _: None, before_summary: Callable[[list], bool] | None = None, report: Callable[[int, int], None] = lambda done, total: None, on_attempt: Callable[[int, int], None] = lambda tried, files: None) -> dict:
     """Group a folder's images; counts of what was read, clustered and skipped.
 
     The order of checks is part of the contract: paths, listing, size, decoding,
-    emptiness, model, inference, grouping, names, preflight, writing.
+    emptiness, model, inference, grouping, names, preflight, writing. ``report`` gets
+    the done and all work of a stage, ``on_attempt`` the files tried so far.
     """
-    options = options or GroupingOptions()
-    paths = settled(source, destination, manifest)
-    stage("Decoding and Normalizing Images:")
-    files, skipped = discover(spark, paths.source, options.recursive)
+    with scratch(spark):
+        return _run(spark, source, destination, options or GroupingOptions(), manifest, embedder or OnnxEmbedder(), stage, before_summary, report, on_attempt)
+
+
+def _run(spark, source, destination, options, manifest, embedder, stage, before_summary, report, on_attempt) -> dict:
+    places = settled(source, destination, manifest)
+    stage("Reading images")
+    files, skipped = discover(spark, places.source, options.recursive)
     n = files.count()
     if options.max_files is not None and n > options.max_files:
-        raise UsageError(f"Found {n:,} supported-extension files; the tested maximum is {options.max_files:,} per run (including unreadable files). Split the source into smaller folders.")
+        raise UsageError(f"{n} files have the extensions of images; a run is tested with at most {options.max_files} of them, readable or not")
+    attempts = spark.sparkContext.accumulator(0)
+
+    def tried(done: int, total: int) -> None:
+        on_attempt(attempts.value, n)
+        report(attempts.value, n)
+
     through_jvm = F.lower("ext").isin(".jpg", ".jpeg", ".tif", ".tiff") & F.lit(not _has_library())
-    decoded = prepared(files.where(~through_jvm)).unionByName(jvm_prepared(spark, files.where(through_jvm)))
-    decoded = written(decoded, "prepared")
+    decoded = prepared(files.where(~through_jvm), attempts).unionByName(jvm_prepared(spark, files.where(through_jvm)))
+    with watched(spark, tried):
+        decoded = written(decoded, "prepared")
+    on_attempt(n, n)
     good = decoded.where("ok")
     skipped = skipped.unionByName(decoded.where("not ok").select("rel_path", "reason"))
     if good.limit(1).count() == 0:
-        raise UsageError("No readable images found in the source folder")
-    stage("Extracting Features:")
-    embedder = embedder or OnnxEmbedder()
+        raise UsageError("none of the source's images can be read")
+    stage("Extracting features")
     embedder.check()
-    features = embedder.embed(good).withColumn("v", fused(F.col("embedding"), F.col("histogram"), options.alpha))
-    features = written(features.drop("crop", "ok", "reason"), "features")
-    stage("Classifying Images:")
-    rows = group_features(features, options).orderBy("cluster", "index").collect()  # a plan is written row by row
+    with watched(spark, report):
+        embedded = written(embedder.embed(good).drop("crop", "ok", "reason"), "embedded")
+    stage("Grouping and writing")
+    steps = Steps(report)
+    features = written(embedded.withColumn("v", fused(F.col("embedding"), F.col("histogram"), options.alpha)), "features")
+    steps.done("fusion")
+    rows = group_features(features, options, steps.done).orderBy("cluster", "index").collect()  # a plan is written row by row
     plan = [PlanRow(**r.asDict()) for r in rows]
     skips = skipped.orderBy("rel_path").collect()
-    preflight(paths, plan)
-    write_outputs(paths, plan, skips)
+    steps.done("names")
+    preflight(places, plan, steps.within("preflight"))
+    write_outputs(places, plan, skips, steps.within("output"))
     if before_summary:
         before_summary(skips)
     return {"images": len(plan), "clusters": len({r.cluster for r in plan}), "skipped": len(skips)}

@@ -7,8 +7,9 @@ import pytest
 
 from kinfold import cli
 from kinfold.functions import pixels
+from kinfold.operators import embed, linkage, pairs, storage
 from kinfold.operators.embed import PrecomputedEmbedder
-from kinfold.options import GroupingOptions, UsageError, WriteError
+from kinfold.options import GroupingError, GroupingOptions, ModelError, UsageError, WriteError
 from kinfold.plans import grouping
 from kinfold.sources import decode, discover, sink
 
@@ -135,7 +136,7 @@ def test_run_and_command_line(spark, tmp_path, capsys):
     empty = tmp_path / "empty"
     empty.mkdir()
     assert cli.main(["-s", str(empty), "-d", str(tmp_path / "out3"), "--model", "no.onnx"], spark) == 2
-    with pytest.raises(UsageError, match="tested maximum"):
+    with pytest.raises(UsageError, match="at most 2"):
         grouping.run(spark, src, tmp_path / "out4", GroupingOptions(max_files=2))
 
 
@@ -174,3 +175,90 @@ def test_decimal_and_options():
         cli.parser().parse_args(["-s", "a", "-d", "b", "--alpha", "0.5", "--color-weight", "3"])
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["-s", "a", "-d", "b", "--threshold", "-1"])
+
+
+def test_progress_of_a_run(spark, tmp_path):
+    src, said, tried, stages = folder(tmp_path), [], [], []
+    grouping.run(spark, src, tmp_path / "out", embedder=embedder(spark), stage=stages.append, report=lambda a, b: said.append((len(stages), a / b)), on_attempt=lambda a, b: tried.append((a, b)))
+    last = [x for n, x in said if n == 3]
+    assert len(stages) == 3 and tried[-1] == (4, 4)
+    assert last == sorted(last) and {1 / 6, 2 / 6, 3 / 6, 4 / 6, 5 / 6, 1.0} <= set(last)
+
+    class Screen(list):
+        write, flush, isatty = list.append, lambda self: None, lambda self: True
+
+    screen = Screen()
+    line = cli.Progress(screen)
+    line.begin("one")
+    line.update(1, 2)
+    line.begin("two")
+    assert " 50 %" in screen[1] and "100 %" in screen[2] and screen[2].endswith("\n")
+
+
+class Session:
+    """Stands in for a model: one input, one output, CPU."""
+
+    class End:
+        def __init__(self, shape, name="x", kind="tensor(float)"):
+            self.shape, self.name, self.type = shape, name, kind
+
+    def __init__(self, first=("n", 3, 224, 224), last=("n", 576), providers=("CPUExecutionProvider",), out=None):
+        self.ends, self.providers, self.out = (self.End(list(first)), self.End(list(last))), list(providers), out
+
+    def get_inputs(self):
+        return [self.ends[0]]
+
+    def get_outputs(self):
+        return [self.ends[1]]
+
+    def get_providers(self):
+        return self.providers
+
+    def run(self, names, feed):
+        x = next(iter(feed.values()))
+        return [self.out if self.out is not None else x.reshape(len(x), -1)[:, :576] + np.float32(3)]
+
+
+def test_model_signature_and_single_image():
+    embed.check_signature(Session())
+    embed.check_signature(Session(first=(None, 3, 224, 224)))
+    for bad in (Session(first=(1, 3, 224, 224)), Session(last=("n", 500)), Session(providers=("CUDAExecutionProvider", "CPUExecutionProvider")), Session(first=("", 3, 224, 224))):
+        with pytest.raises(ModelError, match="does not fit"):
+            embed.check_signature(bad)
+    found = grouping.extract(RGB, Session())
+    assert found["v"].shape == (608,) and np.isclose(np.linalg.norm(found["v"]), 1) and found["aspect_ratio"] == 5 / 7
+    assert np.allclose(found["v"][:576], found["embedding"] * np.sqrt(0.8), atol=1e-6)
+    with pytest.raises(ModelError, match="usable"):
+        grouping.extract(RGB, Session(out=np.zeros((1, 576), np.float32)))
+    with pytest.raises(ValueError):
+        embed.infer(Session(), np.zeros((9, 3, 224, 224), np.float32))
+
+
+def test_features_are_checked(spark):
+    good = {"rel_path": "a", "dhash": 5, "aspect_ratio": 1.5, "thumb": b"x" * pairs.THUMB_BYTES, "v": [0.6, 0.8]}
+    frame = lambda *rows: spark.createDataFrame([tuple(r.values()) for r in rows], "rel_path string, dhash long, aspect_ratio double, thumb binary, v array<float>")
+    pairs.require_features(frame(good, good | {"rel_path": "b"}))
+    for wrong in ({"dhash": None}, {"aspect_ratio": float("nan")}, {"aspect_ratio": 0.0}, {"thumb": b"x"}, {"v": [0.0, 0.0]}, {"v": [float("inf"), 1.0]}, {"v": None}, {"rel_path": "a"}):
+        with pytest.raises(GroupingError):
+            pairs.require_features(frame(good, good | {"rel_path": "b"} | wrong))
+
+
+def test_partition_is_checked(spark):
+    frame = lambda *names: spark.createDataFrame([(n,) for n in names], "rel_path string")
+    linkage.require_partition(frame("a", "b"), frame("b", "a"))
+    for wrong in (("a",), ("a", "b", "b"), ("a", "b", "c")):
+        with pytest.raises(GroupingError):
+            linkage.require_partition(frame("a", "b"), frame(*wrong))
+
+
+def test_storage(spark):
+    with storage.scratch(spark) as outer:
+        with storage.scratch(spark) as own:
+            gone, kept = storage.written(spark.range(3)), storage.written(spark.range(4))
+            found = own.keep(kept.where("id > 0"))
+        assert found.count() == 3
+        with pytest.raises(Exception, match="does not exist"):
+            gone.count()
+        outer.keep(spark.range(1))
+    with pytest.raises(Exception, match="does not exist"):
+        found.count()
