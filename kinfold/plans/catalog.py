@@ -2,8 +2,8 @@
 
 The driver's tables hold no images, so the operators run on stand-ins that Spark
 and DuckDB both can define: vectors from ``embeddings``, colour bins folded from
-them, hashes of the first 72 characters of ``documents`` seen as a 9 x 8 grid,
-and ``lineitem`` rows as pixels of their order. All are whole tables.
+them, hashes of ``documents`` whose whole text is folded into a 9 x 8 grid, and
+``lineitem`` rows as pixels of their order. All are whole tables.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import hashes, paths, vectors
 from kinfold.operators import linkage, naming, pairs
 from kinfold.operators.components import connected_components
+from kinfold.operators.storage import written
 from kinfold.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,16 +62,20 @@ COLOUR = "list_transform(range(1, 33), lambda k: abs(embedding[k]::DOUBLE) + abs
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, dhash, aspect_ratio, thumb (64 codes) of documents of 72 or more characters."""
-    docs = table(spark, sf_dir, "documents").where(F.char_length("text") >= 72)
-    codes = F.transform(F.sequence(F.lit(1), F.lit(72)), lambda k: F.ascii(F.substring(F.col("text"), k, F.lit(1))).cast("long"))
-    docs = docs.select("doc_id", F.col("n_chars").cast("double").alias("aspect_ratio"), codes.alias("cells"))
-    return docs.select("doc_id", "aspect_ratio", hashes.grid_dhash(F.col("cells")).alias("dhash"), F.transform(F.slice("cells", 1, 64), lambda c: F.least(c, F.lit(255))).alias("thumb"))
+    """doc_id, dhash, aspect_ratio, thumb (64 bytes) of all documents: the code points
+    of a whole text, summed over every 72nd place, are the cells of a 9 x 8 grid."""
+    each = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "")).alias("at", "char"))
+    sums = each.groupBy("doc_id", "n_chars", (F.col("at") % 72).alias("k")).agg(F.sum(F.ascii("char")).alias("total"))
+    held = sums.groupBy("doc_id", "n_chars").agg(F.map_from_entries(F.collect_list(F.struct("k", "total"))).alias("held"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0).cast("long")))
+    folded = held.select("doc_id", F.col("n_chars").cast("double").alias("aspect_ratio"), cells.alias("cells"))
+    return written(folded.select("doc_id", "aspect_ratio", hashes.grid_dhash(F.col("cells")).alias("dhash"), F.transform(F.slice("cells", 1, 64), lambda c: c % 256).alias("thumb")), "grids")
 
 
-GRIDS = """grids AS (SELECT doc_id, n_chars::DOUBLE AS aspect_ratio, list_transform(cells[1:64], lambda c: least(c, 255)) AS thumb,
+GRIDS = """grids AS (SELECT doc_id, n_chars::DOUBLE AS aspect_ratio, list_transform(cells[1:64], lambda c: c % 256) AS thumb,
   list_sum(list_transform(range(0, 64), lambda i: CASE WHEN cells[(i // 8) * 9 + i % 8 + 1] > cells[(i // 8) * 9 + i % 8 + 2] THEN (1::UBIGINT << (63 - i)::UBIGINT)::HUGEINT ELSE 0 END))::UBIGINT AS dhash
-  FROM (SELECT doc_id, n_chars, list_transform(range(1, 73), lambda k: unicode(substring(text, k, 1))::BIGINT) AS cells FROM documents WHERE length(text) >= 72))"""
+  FROM (SELECT doc_id, any_value(n_chars) AS n_chars, list(total ORDER BY k) AS cells FROM (SELECT doc_id, any_value(n_chars) AS n_chars, k, coalesce(sum(unicode(codes[i])) FILTER (i % 72 = (k + 1) % 72), 0)::BIGINT AS total
+    FROM (SELECT doc_id, n_chars, regexp_extract_all(coalesce(text, ''), '(?s).') AS codes FROM documents) d, unnest(range(0, 72)) AS t(k), unnest(CASE WHEN len(codes) > 0 THEN range(k + 1, len(codes) + 1, 72) ELSE [] END || CASE WHEN len(codes) <= k THEN [NULL] ELSE [] END) AS u(i) GROUP BY doc_id, k) GROUP BY doc_id))"""
 NEAR = "near AS (SELECT a.doc_id AS src, b.doc_id AS dst, bit_count(xor(a.dhash, b.dhash))::INT AS distance, a.aspect_ratio AS src_r, b.aspect_ratio AS dst_r, a.thumb AS src_t, b.thumb AS dst_t FROM grids a JOIN grids b ON a.doc_id < b.doc_id AND bit_count(xor(a.dhash, b.dhash)) <= 4)"
 
 
@@ -112,6 +117,12 @@ def messy(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(start, flat, F.lit("/./x//y\\")).alias("path"))
 
 
+def twice(spark, sf_dir):
+    """The messy paths, every third in another spelling as well."""
+    rows = messy(spark, sf_dir)
+    return rows.unionByName(rows.where("page_id % 3 = 0").select("page_id", F.concat(F.regexp_replace("path", r"\\", "/"), F.lit("./")).alias("path")))
+
+
 MESSY = "m AS (SELECT page_id, (['', 'c:', '/', '../'])[(page_id % 4 + 1)::INT] || replace(regexp_replace(url, '^[a-z]+://', ''), '/', chr(92)) || '/./x//y' || chr(92) AS path FROM pages)"
 PARTS = "list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.'))"
 
@@ -121,9 +132,9 @@ def path_normalize(spark, sf_dir):
     return messy(spark, sf_dir).select("page_id", paths.normalized_path(F.col("path")).alias("path"), paths.is_relative(F.col("path")).alias("relative"))
 
 
-@query(f"WITH {MESSY} SELECT array_to_string({PARTS}, '/') AS path, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {MESSY}, t AS (SELECT path FROM m UNION ALL SELECT replace(path, chr(92), '/') || './' FROM m WHERE page_id % 3 = 0) SELECT array_to_string({PARTS}, '/') AS path, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 1")
 def path_unique(spark, sf_dir):
-    return messy(spark, sf_dir).groupBy(paths.normalized_path(F.col("path")).alias("path")).agg(F.count("*").alias("n")).where("n > 1")
+    return twice(spark, sf_dir).groupBy(paths.normalized_path(F.col("path")).alias("path")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
@@ -250,8 +261,8 @@ def mae_pairs(spark, sf_dir):
     return near(spark, sf_dir).select("src", "dst", r6(pairs.mean_error(F.col("src_thumb"), F.col("dst_thumb")) / 255.0).alias("error"))
 
 
-def _dup_edges(spark, sf_dir):
-    rows = grids(spark, sf_dir)
+def _dup_edges(spark, sf_dir, rows=None):
+    rows = grids(spark, sf_dir) if rows is None else rows
     binary = F.unhex(F.array_join(F.transform("thumb", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
     return pairs.duplicate_edges(rows.select(F.format_string("%08d", "doc_id").alias("rel_path"), "dhash", "aspect_ratio", binary.alias("thumb")))
 
@@ -271,10 +282,21 @@ def components(spark, sf_dir):
     return connected_components(_dup_edges(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRIDS}, {NEAR}, {DUP}, both_ways AS (SELECT src, dst FROM dup UNION SELECT dst, src FROM dup),
+  reach(node, other) AS (SELECT src, dst FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.other = b.src),
+  parts AS (SELECT node, least(node, min(other)) AS part FROM reach GROUP BY node),
+  held AS (SELECT part, list(node ORDER BY node) AS nodes FROM parts GROUP BY part),
+  ends AS (SELECT part, list([list_position(nodes, src), list_position(nodes, dst)] ORDER BY src, dst) AS edges FROM dup JOIN parts ON node = src JOIN held USING (part) GROUP BY part),
+  step(part, n, own) AS (SELECT part, 1, range(1, len(nodes) + 1) FROM held
+    UNION ALL SELECT part, n + 1, CASE WHEN a <> b AND len(list_filter(edges, lambda e: (own[e[1]] = a AND own[e[2]] = b) OR (own[e[1]] = b AND own[e[2]] = a))) = len(list_filter(own, lambda o: o = a)) * len(list_filter(own, lambda o: o = b))
+      THEN list_transform(own, lambda o: CASE WHEN o = greatest(a, b) THEN least(a, b) ELSE o END) ELSE own END
+    FROM (SELECT part, n, own, edges, own[edges[n][1]] AS a, own[edges[n][2]] AS b FROM step JOIN ends USING (part) WHERE n <= len(edges))),
+  last AS (SELECT part, nodes, own FROM step JOIN ends USING (part) JOIN held USING (part) WHERE n = len(edges) + 1),
+  grouped AS (SELECT nodes[k] AS rel_path, nodes[own[k]] AS dup_group FROM last, unnest(range(1, len(nodes) + 1)) AS t(k))
+  SELECT printf('%08d', doc_id) AS rel_path, coalesce(dup_group, printf('%08d', doc_id)) AS dup_group FROM grids LEFT JOIN grouped ON rel_path = printf('%08d', doc_id)""")
 def complete_link(spark, sf_dir):
-    nodes = grids(spark, sf_dir).select(F.format_string("%08d", "doc_id").alias("rel_path"))
-    return linkage.complete_link(nodes, _dup_edges(spark, sf_dir))
+    rows = grids(spark, sf_dir)
+    return linkage.complete_link(rows.select(F.format_string("%08d", "doc_id").alias("rel_path")), _dup_edges(spark, sf_dir, rows))
 
 
 MEANS = f"""{CONTENT}, m AS (SELECT label, k, avg(v[k]) AS m FROM content, unnest(range(1, 65)) AS t(k) GROUP BY label, k),
@@ -293,7 +315,20 @@ def _upgma(spark, sf_dir, cut):
     return linkage.average_link_clusters(rows, cut).withColumnRenamed("dup_group", "rel_path")
 
 
-@query()
+UPGMA = f"""{CONTENT}, far AS (SELECT a.rel_path AS x, b.rel_path AS y, greatest(0, least(2, 1 - list_dot_product(a.v, b.v))) AS d FROM content a JOIN content b ON a.rel_path <> b.rel_path),
+  close AS (SELECT x, y FROM far WHERE d < {CUT}),
+  reach(node, other) AS (SELECT x, y FROM close UNION SELECT r.node, c.y FROM reach r JOIN close c ON r.other = c.x),
+  parts AS (SELECT node, least(node, min(other)) AS part FROM reach GROUP BY node),
+  held AS (SELECT part, list(node ORDER BY node) AS nodes FROM parts GROUP BY part),
+  pairs AS (SELECT p.part, list({{'i': list_position(nodes, x), 'j': list_position(nodes, y), 'd': d}}) AS ds FROM far JOIN parts p ON p.node = x JOIN parts q ON q.node = y AND q.part = p.part JOIN held h ON h.part = p.part WHERE x < y GROUP BY p.part),
+  step(part, own, open) AS (SELECT part, range(1, len(nodes) + 1), true FROM held
+    UNION ALL SELECT part, CASE WHEN best[1] < {CUT} THEN list_transform(own, lambda o: CASE WHEN o = best[3] THEN best[2]::BIGINT ELSE o END) ELSE own END, best[1] < {CUT}
+    FROM (SELECT part, own, (SELECT min([m, a, b]) FROM (SELECT avg(e.d) AS m, least(own[e.i], own[e.j])::DOUBLE AS a, greatest(own[e.i], own[e.j])::DOUBLE AS b FROM (SELECT unnest(ds) AS e) WHERE own[e.i] <> own[e.j] GROUP BY 2, 3)) AS best FROM step JOIN pairs USING (part) WHERE open) WHERE best IS NOT NULL),
+  last AS (SELECT part, arg_min(own, list_sum(own)) AS own FROM step GROUP BY part),
+  clusters AS (SELECT nodes[k] AS rel_path, nodes[own[k]] AS cluster_key FROM last JOIN held USING (part), unnest(range(1, len(nodes) + 1)) AS t(k))"""
+
+
+@query(f"WITH RECURSIVE {UPGMA} SELECT rel_path, coalesce(clusters.cluster_key, rel_path) AS cluster_key FROM content LEFT JOIN clusters USING (rel_path)")
 def upgma(spark, sf_dir):
     return _upgma(spark, sf_dir, CUT)
 
@@ -363,7 +398,19 @@ def plan_grouping(spark, sf_dir):
     rows = content(spark, sf_dir)
     clusters = linkage.average_link_clusters(rows.select(F.col("rel_path").alias("dup_group"), "v"), CUT)
     keyed = rows.select("rel_path", "v").join(clusters.withColumnRenamed("dup_group", "rel_path"), "rel_path")
-    return naming.named_plan(keyed)
+    return naming.named_plan(keyed).withColumn("distance_to_centroid", r6(F.col("distance_to_centroid")))
+
+
+@query(f"""WITH RECURSIVE {UPGMA}, keyed AS (SELECT rel_path, v, coalesce(clusters.cluster_key, rel_path) AS cluster_key FROM content LEFT JOIN clusters USING (rel_path)),
+  m AS (SELECT cluster_key, k, avg(v[k]) AS m FROM keyed, unnest(range(1, 65)) AS t(k) GROUP BY cluster_key, k), reps AS (SELECT cluster_key, list(m ORDER BY k) AS mean, sqrt(sum(m * m)) AS norm FROM m GROUP BY cluster_key),
+  d AS (SELECT rel_path, cluster_key, greatest(0, least(2, 1 - list_dot_product(v, mean) / norm)) AS distance FROM keyed JOIN reps USING (cluster_key)),
+  c AS (SELECT cluster_key, row_number() OVER (ORDER BY count(*) DESC, min(rel_path)) AS cluster FROM keyed GROUP BY cluster_key),
+  c2 AS (SELECT * FROM c)
+  SELECT rel_path, cluster::INT AS cluster, round(distance, 6) + 0.0 AS distance_to_centroid FROM d JOIN c2 USING (cluster_key)""")
+def plan_clusters(spark, sf_dir):
+    """The flagship's clusters and distances; members of pairs are equally far but for
+    rounding, so that SQL cannot state their order."""
+    return plan_grouping(spark, sf_dir).select("rel_path", "cluster", "distance_to_centroid")
 
 
 def _skipped(spark, sf_dir):
@@ -388,9 +435,10 @@ def summary(spark, sf_dir):
     return named.join(_skipped(spark, sf_dir).agg(F.count("*").alias("skipped")))
 
 
-@query(f"WITH {PLAN} SELECT printf('%04d-%08d.png', cluster, index) AS output_name FROM p WHERE printf('%04d-%08d.png', cluster, index) IN (SELECT printf('%04d-%08d.png', (o_orderkey % 9999 + 1)::INT, o_custkey) FROM orders)")
+@query(f"WITH {PLAN} SELECT printf('%04d-%08d.png', cluster, index) AS output_name FROM p WHERE printf('%04d-%08d.png', cluster, index) IN (SELECT printf('%04d-%08d.png', (o_orderkey % 20 + 1)::INT, o_custkey) FROM orders)")
 def name_collision(spark, sf_dir):
-    existing = QUERIES["q_output_name"](spark, sf_dir).select("output_name")
+    """Planned names that a destination (named after orders) holds already."""
+    existing = table(spark, sf_dir, "orders").select(naming.output_name((F.col("o_orderkey") % 20 + 1).cast("int"), F.col("o_custkey")).alias("output_name"))
     return naming.named_plan(by_label(spark, sf_dir)).join(existing, "output_name", "left_semi").select("output_name")
 
 
