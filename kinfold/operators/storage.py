@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,3 +100,14 @@ def scratch(spark: SparkSession):
                 _delete(spark, path)
             elif _scopes:
                 _scopes[-1].append(path)
+
+
+def scoped(function):
+    """Runs a function of a table in a scope of its own that keeps what it returns."""
+
+    @wraps(function)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        with scratch(df.sparkSession) as own:
+            return own.keep(function(df, *args, **options))
+
+    return run
