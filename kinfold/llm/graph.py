@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kinfold.llm.vectors import matrix, packed
-from kinfold.operators.storage import written
+from kinfold.operators.storage import scoped, written
 
 #: Vectors of a shard and queries of a visit on average.
 SHARD, VISIT = 4096, 4096
@@ -179,6 +179,7 @@ def _lifted(rows: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([scaled, np.sqrt(np.maximum(1 - (scaled * scaled).sum(1), 0))[:, None]], 1).astype(np.float32)
 
 
+@scoped
 def nearest(df: DataFrame, is_query: F.Column, k: int = 20, shard: int = SHARD, beam: int = BEAM, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per query its ``k`` nearest: query_id, rank (from 1), vec_id, score.
 

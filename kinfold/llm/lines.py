@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.arrow import bounded_batches, map_batches, texts
-from kinfold.operators.storage import written
+from kinfold.operators.storage import scoped, written
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Keys that a shard is laid out for, and least number of shards.
@@ -245,6 +245,7 @@ def dropped_keys(refs: DataFrame, least: int = 3, make: type = CuckooFilter) ->
     return index.drops(least)
 
 
+@scoped
 def dedup_lines(df: DataFrame, least_chars: int = 20, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, text (the lines that stay), ``carry``.
 

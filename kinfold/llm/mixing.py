@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kinfold.llm.arrow import bounded_batches, map_batches
-from kinfold.operators.storage import written
+from kinfold.operators.storage import scoped, written
 
 #: A word, for Java's and Python's pattern language alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -178,6 +178,7 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return plan.select("source", "source_size", "target"), draws
 
 
+@scoped
 def mixed_sizes(df: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken (words the leaves draw),
     first_shard and last_shard (of its blocks; null if none is drawn)."""
@@ -188,6 +189,7 @@ def mixed_sizes(df: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
+@scoped
 def mixed_documents(df: DataFrame, length_col: str = "n_chars", **options) -> DataFrame:
     """The mix as rows of the columns of ``df``, shard by shard in shuffled order.
 

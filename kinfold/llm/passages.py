@@ -44,7 +44,7 @@ from pyspark.sql.window import Window as W
 
 from kinfold.llm.arrow import bounded_batches, map_batches, texts, whole_groups
 from kinfold.operators.components import connected_components
-from kinfold.operators.storage import discard, written
+from kinfold.operators.storage import discard, scoped, written
 
 UNIT, WINDOW, NEAR, SHINGLE = 15, 36, 11, 5
 #: MinHash rows of each band, 0 standing for all shingles in order, and its windows.
@@ -460,6 +460,7 @@ def checked(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return map_batches(bounded_batches(_slices(docs, asked)), verify, SPAN_ROW)
 
 
+@scoped
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per instance of a repeated passage: doc_id, start_word, end_word,
     n_words, component_doc, component_start, kept, and text_id, which tells the texts

@@ -8,12 +8,13 @@ stochastic gradient descent in numpy.
 
 Training takes at most SAMPLE labelled documents (those first by a hash of their
 doc_id), and of them only rows whose fold is not held out. Their features are
-extracted on the executors; a document gives at most BUCKETS numbers. Scores are
+extracted on the executors; at most FEATURES numbers of them are learned from. Scores are
 for all documents and whole texts: as average and layer are linear, a feature
 adds one number to the log odds, and a word the sum of its features'.
 
 Edge cases: null and empty texts have no features and score what the layer's
-bias gives; rows with a null label or doc_id are not learned from; without
+bias gives; rows with a null label or doc_id, and documents whose labels disagree,
+are not learned from; equal scores are ties that stay equal; without
 usable labels every score is 0.5 (predicted 1); repeated rows repeat their
 result; an empty table gives an empty result; other columns are never read.
 """
@@ -27,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.arrow import bounded_batches, map_batches, texts
+from kinfold.operators.storage import scratch, written
 
 #: Documented bound of the training sample, in documents.
 SAMPLE = 4000
+#: Documented bound of their features that go to the driver, in numbers, and share of
+#: it that the rows of one doc_id may have.
+FEATURES, LARGEST = 1 << 24, 0.1
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 5
 CACHE, LONGEST = 400_000, 48
@@ -139,9 +144,11 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality") -> tuple[np.ndarray, float]:
-    """Train on at most ``sample`` labelled documents outside the held-out fold."""
+    """Train on at most ``sample`` labelled documents outside the held-out fold, and of
+    those on the first by hash that have FEATURES numbers in all."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select("doc_id", F.col(label_col).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    y = F.col(label_col).cast("int")  # documents whose labels disagree teach nothing
+    usable = usable.groupBy("doc_id").agg(F.min(y).alias("y"), F.max(y).alias("most")).where("y = most").drop("most")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # its rows are bounded by the sample
     own = texts(docs).join(F.broadcast(chosen), "doc_id")
 
@@ -151,7 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
             buckets, counts = document_features(text, known)
             yield {"doc_id": [i], "buckets": [buckets.astype("<u4").tobytes()], "counts": [np.minimum(counts, 2**31 - 1).astype("<u4").tobytes()], "y": [y]}
 
-    rows = sorted(map_batches(own, extract, "doc_id long, buckets binary, counts binary, y int").collect(), key=lambda r: (r.doc_id, bytes(r.buckets), bytes(r.counts)))
+    with scratch(docs.sparkSession):
+        rows = written(map_batches(own, extract, "doc_id long, buckets binary, counts binary, y int").withColumn("h", F.xxhash64("doc_id")), "features")
+        sizes = rows.groupBy("h").agg((F.sum(F.octet_length("buckets")) / 4).alias("n")).where(F.col("n") <= LARGEST * FEATURES).orderBy("h").collect()
+        held = [r.h for r, n in zip(sizes, np.cumsum([r.n for r in sizes]).tolist(), strict=True) if n <= FEATURES]
+        found = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in held], "h long")), "h").collect()
+    rows = sorted(found, key=lambda r: (r.doc_id, bytes(r.buckets), bytes(r.counts)))
     return train([(np.frombuffer(r.buckets, "<u4"), np.frombuffer(r.counts, "<u4"), r.y) for r in rows])
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.vectors import kmeans, matrix, packed, squared, units
 from kinfold.operators.components import connected_components
-from kinfold.operators.storage import written
+from kinfold.operators.storage import scoped, written
 
 #: Documented bound of the sample that centres and codes are fitted on.
 SAMPLE = 10_000
@@ -196,6 +196,7 @@ def _cell(index: pa.Table, asking: pa.Table, codecs: dict[int, Codec], threshold
     return np.concatenate([who, *src, *none]), np.concatenate([who, *dst, *none]), np.concatenate([n, np.zeros(edges, np.int64)])
 
 
+@scoped
 def near_vectors(df: DataFrame, threshold: float = 0.98, lists: int | None = None, subspaces: int = SUBSPACES, codes: int = CODES, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept (vec_id = component_id).
 

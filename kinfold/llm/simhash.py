@@ -35,7 +35,7 @@ from kinfold.llm.arrow import bounded_batches, map_batches, texts, whole_groups
 from kinfold.llm.pairs import paired_texts
 from kinfold.llm.planes import SMALL, forest, proposed, small_links
 from kinfold.operators.components import connected_components
-from kinfold.operators.storage import written
+from kinfold.operators.storage import scoped, written
 
 SEED = 42
 #: Members of a bucket that one task compares.
@@ -154,6 +154,7 @@ def _cut_again(radius: int):
     return cut
 
 
+@scoped
 def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -193,6 +194,7 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(row.astype("<u8").tobytes(), k) for k, row in enumerate(least)], dtype=np.uint64).view(np.int64).tolist()
 
 
+@scoped
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 60, prints: int = 3, bands: int = 12, rows: int = 5, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents whose shingle sets are alike.
 

@@ -55,3 +55,31 @@ def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = quality.scored(docs, quality.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     assert len(found) > 50 and np.mean([r.predicted == r.quality for r in found]) > 0.95
+
+
+def test_labels_that_disagree_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, ("good words " if i % 2 else "bad %% junk ") * 5, "x") for i in range(40)], "doc_id long, text string, y string")
+    labels = [(i, i % 2) for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    less = quality.fit(docs, frame([x for x in labels if x[0] >= 6]))
+    both = quality.fit(docs, frame(labels + [(i, 1 - i % 2) for i in range(6)] + labels[6:9]))
+    assert np.array_equal(less[0], both[0]) and less[1] == both[1]
+
+
+def test_features_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("good words " if i % 2 else "bad %% junk ") * 5) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda documents: taught.append(sum(len(b) for b, *_ in documents)))
+    quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "FEATURES", 200)
+    quality.fit(docs, labels)
+    assert taught[0] > 200 >= taught[1] > 100
+
+
+def test_ties_nulls_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "same text"), (2, "same text"), (2, "same text"), (None, None), (3, ""), (4, "word " * 200_000)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(3, 1), (4, 0), (None, 1)], "doc_id long, quality int"))
+    found = quality.scored(docs, model).collect()
+    score = {r.doc_id: r.score for r in found}
+    assert len(found) == 6 and score[1] == score[2] and score[None] == score[3] and all(0 <= r.score <= 1 for r in found)
