@@ -247,14 +247,15 @@ def dropped_keys(refs: DataFrame, least: int = 3, make: type = CuckooFilter) ->
 
 @scoped
 def dedup_lines(df: DataFrame, least_chars: int = 20, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, n_lines, n_dropped, text (the lines that stay), ``carry``.
+    """Per row: doc_id, n_lines, n_dropped, text (the lines that stay), and the
+    columns ``carry`` with ``_`` before their names, so that none clashes.
 
     Keys of at least ``least_chars`` code points in at least ``least_docs``
     documents lose all their lines except in the largest doc_id that has them.
     """
     drops = dropped_keys(written(references(df, least_chars, id_col, text_col), "line-refs"), least_docs)
     own = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
-    docs = bounded_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    docs = bounded_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_{c}") for c in carry])
     joined = docs.join(own.hint("shuffle_hash"), "doc_id", "left")
 
     def rewrite(batch):
@@ -262,7 +263,7 @@ def dedup_lines(df: DataFrame, least_chars: int = 20, least_docs: int = 3, id_co
         flat = pairs.flatten()
         keys = np.stack([flat.field("h1").to_numpy(), flat.field("h2").to_numpy()], 1).astype("<i8") if len(flat) else np.empty((0, 2), "<i8")
         sizes = [n or 0 for n in pa.compute.list_value_length(pairs).to_pylist()]
-        out = {"doc_id": batch.column("doc_id"), "n_lines": [], "n_dropped": [], "text": []} | {c: batch.column(c) for c in carry}
+        out = {"doc_id": batch.column("doc_id"), "n_lines": [], "n_dropped": [], "text": []} | {f"_{c}": batch.column(f"_{c}") for c in carry}
         at = 0
         for i, text, n in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), sizes, strict=True):
             gone = {k.tobytes() for k in keys[at : at + n]}
@@ -275,7 +276,7 @@ def dedup_lines(df: DataFrame, least_chars: int = 20, least_docs: int = 3, id_co
         yield out
 
     kinds = dict(docs.dtypes)
-    return map_batches(joined, rewrite, ", ".join([f"doc_id {kinds['doc_id']}", "n_lines long", "n_dropped long", "text string", *(f"`{c}` {kinds[c]}" for c in carry)]))
+    return map_batches(joined, rewrite, ", ".join([f"doc_id {kinds['doc_id']}", "n_lines long", "n_dropped long", "text string", *(f"`_{c}` {kinds[f'_{c}']}" for c in carry)]))
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -196,14 +196,14 @@ def mixed_documents(df: DataFrame, length_col: str = "n_chars", **options) -> Da
     A document taken whole gives its row as often as it is taken; of one taken
     in part, the blocks taken give one row. ``length_col`` is the text's length.
     """
-    rows = sized_rows(df, carry=tuple(F.col(c).alias(f"_{c}") for c in df.columns))
+    names, word = list(df.columns), re.compile(WORD)
+    rows = sized_rows(df, carry=tuple(F.col(f"`{c}`").alias(f"_{c}") for c in names))  # no name of ours begins so
     _, draws = mix(rows, **options)
     own = draws.groupBy("row", "epoch").agg(F.min("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("part", "words"))).alias("taken"), F.min("shard").alias("shard"), F.min("place").alias("place"))
     joined = bounded_batches(rows).join(own.hint("shuffle_hash"), "row")
-    names, word = list(df.columns), re.compile(WORD)
 
     def cut(batch):
-        texts, out = [], {c: batch.column(f"_{c}") for c in names}
+        texts, out = [], {f"_{c}": batch.column(f"_{c}") for c in names}
         for text, size, parts, taken in zip(*(batch.column(c).to_pylist() for c in ("_text", "size", "parts", "taken")), strict=True):
             if len(taken) == parts and sum(t["words"] for t in taken) == size:
                 texts.append(text)
@@ -215,11 +215,12 @@ def mixed_documents(df: DataFrame, length_col: str = "n_chars", **options) -> Da
                 if t["words"]:
                     pieces.append(text[spans[first][0] : spans[first + t["words"] - 1][1]])
             texts.append("\n".join(pieces))
-        out["text"] = texts
-        if length_col in out:
-            out[length_col] = [None if t is None else len(t) for t in texts]
+        out["_text"] = texts
+        if f"_{length_col}" in out:
+            out[f"_{length_col}"] = [None if t is None else len(t) for t in texts]
         yield out | {"shard": batch.column("shard"), "place": batch.column("place")}
 
     kinds = dict(df.dtypes)
-    mixed = map_batches(joined, cut, ", ".join([*(f"`{c}` {kinds[c]}" for c in df.columns), "shard int, place long"]))
-    return mixed.repartition("shard", F.pmod("place", F.lit(PARTS))).sortWithinPartitions("shard", "place").select(*df.columns)
+    mixed = map_batches(joined, cut, ", ".join([*(f"`_{c}` {kinds[c]}" for c in names), "shard int, place long"]))
+    placed = mixed.repartition("shard", F.pmod("place", F.lit(PARTS))).sortWithinPartitions("shard", "place")
+    return placed.select(*[F.col(f"`_{c}`").alias(c) for c in names])
