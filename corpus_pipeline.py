@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents. All but the last return
-the columns of the documents. Rows without a doc_id pass through the dedup
-stages; null texts count as empty; an empty table stays empty.
+the columns of the documents, whatever these are. Null texts count as empty, and
+texts without words are alike to near-dedup, so one of them stays; rows without a
+doc_id pass through the dedup stages; of rows that share a doc_id near-dedup keeps
+all or none; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import lines, mixing, packing, quality, simhash
-from kinfold.operators.storage import written
+from kinfold.operators.storage import scratch, written
 from kinfold.sources.tables import table
 
 
@@ -26,16 +28,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 or more characters in 3 or more documents stay in one of them; a
     document that loses all its lines stays with an empty text."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = lines.dedup_lines(docs, 20, 3, carry=carry)
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = lines.dedup_lines(docs, 20, 3, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    now = {c: F.col(c) if c in ("doc_id", "text") else F.col(f"`_{c}`") for c in docs.columns}
+    if "n_chars" in now:
+        now["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[column.alias(c) for c, column in now.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents alike (five-word shingles, similarity 0.8), the
     one with the smallest doc_id stays."""
     gone = simhash.similar_groups(docs, words=5, similarity=0.8).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as own:  # what a stage wrote besides its result goes
+            docs = own.keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)
