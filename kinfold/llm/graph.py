@@ -32,8 +32,8 @@ from kinfold.llm.vectors import matrix, packed
 from kinfold.operators.storage import scoped, written
 
 #: Vectors of a shard and queries of a visit on average.
-SHARD, VISIT = 4096, 4096
-DEGREE, SLACK, BUILD_BEAM, BEAM, RELAX, BATCH, WIDE, SEED = 24, 16, 40, 96, 1.2, 256, 4, 9
+SHARD, VISIT = 16384, 32768
+DEGREE, SLACK, BUILD_BEAM, BEAM, RELAX, BATCH, WIDE, SEED = 24, 16, 40, 256, 1.2, 256, 4, 9
 
 
 class Graph:
