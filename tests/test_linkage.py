@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from kinfold.operators import linkage, naming, pairs
 from kinfold.operators.components import connected_components
 from kinfold.options import GroupingError, GroupingOptions, alpha_of
+from kinfold.plans import catalog
 
 
 def plain_complete_link(n, edges):
@@ -171,3 +172,13 @@ def test_strips_of_a_block_give_all_pairs(spark, monkeypatch):
     rows = [(f"{i:02d}", x.tolist()) for i, x in enumerate(v)] + [("none", None), ("zero", [0.0] * 3)]
     found = sorted((r.src, r.dst) for r in pairs.cosine_edges(spark.createDataFrame(rows, "key string, v array<double>"), 0.5, block=30).collect())
     assert found == sorted((f"{a:02d}", f"{b:02d}") for a, b in itertools.combinations(range(40), 2) if 1 - v[a] @ v[b] < 0.5)
+
+
+def test_plans_without_files_hold_any_number_of_clusters(spark, monkeypatch):
+    monkeypatch.setattr(naming, "MAX_CLUSTERS", 1)
+    rows = spark.createDataFrame([("a", "a", [1.0, 0.0]), ("b", "b", [0.0, 1.0])], "rel_path string, cluster_key string, v array<double>")
+    with pytest.raises(GroupingError):
+        naming.named_plan(rows)
+    assert sorted(r.cluster for r in naming.named_plan(rows, bounded=False).collect()) == [1, 2]
+    found = catalog.QUERIES["q_plan_clusters"](spark, "/root/testdata/sf0.001")
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
