@@ -87,6 +87,17 @@ def document_features(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarr
     return at, counts[at]
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each (1, 2 or 4) that hold the largest."""
+    most = int(counts.max(initial=0))
+    return np.minimum(counts, 2**32 - 1).astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def widths(buckets: bytes, counts: bytes) -> np.ndarray:
+    """The counts that ``narrow`` has packed beside buckets of two bytes."""
+    return np.frombuffer(counts, f"<u{2 * len(counts) // max(1, len(buckets)) or 1}")
+
+
 def train(documents: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
     """What each bucket adds to the log odds of label 1, and the bias."""
     if len({y for *_, y in documents}) < 2:
@@ -94,11 +105,12 @@ def train(documents: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarr
     random = np.random.default_rng(SEED)
     vectors = random.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
     layer, bias = random.normal(0, 1 / WIDTH, (WIDTH, 2)), np.zeros(2)
-    documents = [(b, c / c.sum(), y) for b, c, y in documents if len(b)]
+    documents = [d for d in documents if len(d[0])]  # shares are doubles, so they are made as needed
     steps, done = EPOCHS * len(documents), 0
     for _ in range(EPOCHS):
         for i in random.permutation(len(documents)):
-            buckets, share, y = documents[i]
+            buckets, counts, y = documents[i]
+            share = counts / counts.sum()
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = share @ vectors[buckets]
@@ -156,15 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
         known: dict[str, np.ndarray] = {}
         for i, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True):
             buckets, counts = document_features(text, known)
-            yield {"doc_id": [i], "buckets": [buckets.astype("<u4").tobytes()], "counts": [np.minimum(counts, 2**31 - 1).astype("<u4").tobytes()], "y": [y]}
+            yield {"doc_id": [i], "buckets": [buckets.astype("<u2").tobytes()], "counts": [narrow(counts)], "y": [y]}
 
     with scratch(docs.sparkSession):
         rows = written(map_batches(own, extract, "doc_id long, buckets binary, counts binary, y int").withColumn("h", F.xxhash64("doc_id")), "features")
-        sizes = rows.groupBy("h").agg((F.sum(F.octet_length("buckets")) / 4).alias("n")).where(F.col("n") <= LARGEST * FEATURES).orderBy("h").collect()
+        sizes = rows.groupBy("h").agg((F.sum(F.octet_length("buckets")) / 2).alias("n")).where(F.col("n") <= LARGEST * FEATURES).orderBy("h").collect()
         held = [r.h for r, n in zip(sizes, np.cumsum([r.n for r in sizes]).tolist(), strict=True) if n <= FEATURES]
         found = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in held], "h long")), "h").collect()
     rows = sorted(found, key=lambda r: (r.doc_id, bytes(r.buckets), bytes(r.counts)))
-    return train([(np.frombuffer(r.buckets, "<u4"), np.frombuffer(r.counts, "<u4"), r.y) for r in rows])
+    return train([(np.frombuffer(r.buckets, "<u2"), widths(r.buckets, r.counts), r.y) for r in rows])
 
 
 def score_column(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> F.Column:

@@ -83,3 +83,20 @@ def test_ties_nulls_and_long_texts(spark):
     found = quality.scored(docs, model).collect()
     score = {r.doc_id: r.score for r in found}
     assert len(found) == 6 and score[1] == score[2] and score[None] == score[3] and all(0 <= r.score <= 1 for r in found)
+
+
+def test_features_go_to_the_driver_in_few_bytes(spark, monkeypatch):
+    for most in (1, 255, 256, 65535, 65536, 10**6):
+        counts = np.array([1, most, 3])
+        packed = quality.narrow(counts)
+        assert quality.widths(bytes(6), packed).tolist() == counts.tolist()
+    assert len(quality.narrow(np.array([1, 255]))) == 2 and len(quality.widths(b"", b"")) == 0
+    docs = spark.createDataFrame([(i, ("good words " if i % 2 else "bad %% junk ") * (5 if i else 70_000)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda documents: taught.extend(documents))
+    quality.fit(docs, labels)
+    kinds = [(b.dtype.itemsize, c.dtype.itemsize) for b, c, _ in taught]
+    assert len(taught) > 20 and set(kinds) == {(2, 1), (2, 4)}
+    expected = {len(c): c.sum() for c in (quality.document_features("good words " * 5, {})[1], quality.document_features("bad %% junk " * 5, {})[1])}
+    assert all(int(c.sum()) == expected[len(c)] for _, c, _ in taught if c.dtype.itemsize == 1)
